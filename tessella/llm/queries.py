@@ -31,3 +31,46 @@ def p4_sessions(spark, d):
     from tessella.llm.threads import rebuild_conversations
 
     return rebuild_conversations(table(spark, d, "messages"))[1]
+
+
+@query
+def p3_found(spark, d):
+    from tessella.llm.docpairs import documented_functions
+
+    return documented_functions(table(spark, d, "snapshots")).select("repo_id", "path", "qualname", "def_line")
+
+
+@query
+def p3_pairs(spark, d):
+    from tessella.llm.docpairs import documented_functions
+
+    return documented_functions(table(spark, d, "snapshots"))
+
+
+@query
+def p6_ids(spark, d):
+    from tessella.llm.bpe import encode_corpus
+
+    return encode_corpus(table(spark, d, "documents"))
+
+
+@query
+def p7_found(spark, d):
+    from tessella.llm.mixing import source_tokens, target_totals
+
+    docs, targets = table(spark, d, "documents"), table(spark, d, "mix_targets")
+    return target_totals(source_tokens(docs, targets), targets).filter("short").select("source")
+
+
+@query
+def p7_mix(spark, d):
+    from tessella.llm.mixing import fair_mix
+
+    return fair_mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+@query
+def p7_shares(spark, d):
+    from tessella.llm.mixing import fair_mix, mix_shares
+
+    return mix_shares(*fair_mix(table(spark, d, "documents"), table(spark, d, "mix_targets")))
