@@ -74,3 +74,17 @@ def p7_shares(spark, d):
     from tessella.llm.mixing import fair_mix, mix_shares
 
     return mix_shares(*fair_mix(table(spark, d, "documents"), table(spark, d, "mix_targets")))
+
+
+@query
+def p8_found(spark, d):
+    from tessella.llm.truncation import truncated
+
+    return truncated(table(spark, d, "documents")).select("doc_id")
+
+
+@query
+def p8_rates(spark, d):
+    from tessella.llm.truncation import truncation_rates
+
+    return truncation_rates(table(spark, d, "documents"))
