@@ -88,3 +88,19 @@ def p8_rates(spark, d):
     from tessella.llm.truncation import truncation_rates
 
     return truncation_rates(table(spark, d, "documents"))
+
+
+def _oversized(spark, d):
+    from tessella.llm.pieces import Oversized
+
+    return Oversized(table(spark, d, "symbols"), table(spark, d, "snapshots"), table(spark, d, "piece_limits"))
+
+
+@query
+def p5_found(spark, d):
+    return _oversized(spark, d).spans().select("symbol_id")
+
+
+@query
+def p5_pieces(spark, d):
+    return _oversized(spark, d).pieces()
