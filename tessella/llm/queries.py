@@ -104,3 +104,31 @@ def p5_found(spark, d):
 @query
 def p5_pieces(spark, d):
     return _oversized(spark, d).pieces()
+
+
+def _consensus(spark, d):
+    from tessella.llm.consensus import Consensus
+
+    return Consensus(table(spark, d, "verdicts"), table(spark, d, "adjudications"), table(spark, d, "assertions"))
+
+
+@query
+def p2_found(spark, d):
+    from tessella.llm.consensus import MIN_JUDGES
+
+    return _consensus(spark, d).verdicts().filter(f"n_judges >= {MIN_JUDGES}").select("assertion_id", "verdict")
+
+
+@query
+def p2_items(spark, d):
+    return _consensus(spark, d).verdicts()
+
+
+@query
+def p2_judges(spark, d):
+    return _consensus(spark, d).reliability()
+
+
+@query
+def p2_agreement(spark, d):
+    return _consensus(spark, d).alpha()
