@@ -9,8 +9,9 @@ halo on either side; everything after that works on ranges:
    maxima and minima carry the nearest non-blank byte over ranges that have none.
 3. A symbol's line fields are resolved to bytes by two look-ups: which range has the line (from the
    file's list of line counts), and where in the range it starts.
-4. Spans longer than the limit are verified against content_hash by hashing their range slices in
-   order, a slice at a time.
+4. Spans are verified against content_hash: in place where they lie in one range with its halo,
+   and otherwise by hashing their range slices in order, a slice at a time.  Lines are resolved only
+   for symbols whose byte fields fail.
 5. A verified span is laid out in strides of equal length whose last part is the *cut zone*.  In
    every zone the strongest boundary is the cut, so cuts do not depend on each other and a giant
    symbol is cut by many workers.  With stride + zone + overlap <= max_bytes no piece is too long.
@@ -106,6 +107,7 @@ def stitched(tables: DataFrame) -> DataFrame:
         *FILE,
         "range_no",
         "n_lines",
+        "last_ink",
         F.coalesce(F.sum("n_lines").over(past), F.lit(0)).alias("lines_before"),
         F.max("last_ink").over(past).alias("ink_before"),
         F.min("first_ink").over(ahead).alias("ink_behind"),
@@ -115,9 +117,10 @@ def stitched(tables: DataFrame) -> DataFrame:
 def line_spans(symbols: DataFrame, tables: DataFrame, width: int = RANGE) -> DataFrame:
     """(symbol_id, begin, end) of the bytes that the line fields name, without blanks at either end."""
     seams = stitched(tables)
-    per_file = seams.groupBy(*FILE).agg(F.array_sort(F.collect_list(F.struct("range_no", "lines_before", "n_lines"))).alias("counts"), F.sum("n_lines").alias("all_lines"))
-    ink = tables.groupBy(*FILE).agg(F.max("last_ink").alias("file_end"))
-    asked = symbols.filter("line_start >= 1 AND line_end >= line_start").join(per_file, FILE).join(ink, FILE).filter("line_end <= all_lines")
+    per_file = seams.groupBy(*FILE).agg(
+        F.array_sort(F.collect_list(F.struct("range_no", "lines_before", "n_lines"))).alias("counts"), F.sum("n_lines").alias("all_lines"), F.max("last_ink").alias("file_end")
+    )
+    asked = symbols.filter("line_start >= 1 AND line_end >= line_start").join(per_file, FILE).filter("line_end <= all_lines")
     # a line is looked up in the last range that begins before it
     lines = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("line_start").alias("line")), F.struct(F.lit(1).alias("side"), (F.col("line_end") + 1).alias("line"))))
     look = asked.select(*FILE, "symbol_id", "content_hash", "counts", "all_lines", "file_end", lines.alias("l")).select("*", "l.side", "l.line")
@@ -125,7 +128,7 @@ def line_spans(symbols: DataFrame, tables: DataFrame, width: int = RANGE) -> Dat
     look = look.withColumn("slot", F.element_at(slot, -1)).select(
         *FILE, "symbol_id", "content_hash", "side", "file_end", (F.col("line") > F.col("all_lines")).alias("past_end"), F.col("slot.range_no").alias("range_no"), (F.col("line") - F.col("slot.lines_before")).cast("int").alias("nth")
     )
-    full = tables.select(*FILE, "range_no", "starts", "ends_before", "inks_after").join(seams.drop("n_lines", "lines_before"), [*FILE, "range_no"])
+    full = tables.select(*FILE, "range_no", "starts", "ends_before", "inks_after").join(seams.drop("n_lines", "lines_before", "last_ink"), [*FILE, "range_no"])
     hit = look.join(full, [*FILE, "range_no"])
     base = F.col("range_no") * width
     end = F.try_element_at("ends_before", F.col("nth"))
@@ -166,25 +169,47 @@ class Oversized:
         most = self.limits.agg(F.max("max_bytes")).first()[0] or 1  # a zone and an overlap fit into this
         self.ranges = self.scratch.cut(byte_ranges(current_files(snapshots), int(most), width))
         cols = ["repo_id", "symbol_id", "path", "kind", "line_start", "line_end", "byte_start", "byte_end", "content_hash"]
-        once = symbols.select(cols).filter(F.col("symbol_id").isNotNull()).dropDuplicates()
-        sizes = self.ranges.filter("range_no = 0").select(*FILE, "size")
-        self.symbols = once.join(self.limits, "kind").join(sizes, FILE)
+        once = symbols.select(cols).filter(F.col("symbol_id").isNotNull()).dropDuplicates().join(self.limits, "kind")
+        self.symbols = self.scratch.cut(self._checked(once))
+
+    def _checked(self, once: DataFrame) -> DataFrame:
+        """Symbols with their file's size and whether their byte fields are right.
+
+        ``held`` is true or false where the named bytes lie in one range with its halo and were
+        hashed there, and null where they do not.
+        """
+        w = self.width
+        module = F.col("kind") == "module"
+        named = ~module & (F.col("byte_start") >= 0) & (F.col("byte_end") > F.col("byte_start"))
+        keyed = once.withColumn("range_no", F.when(named, F.floor(F.col("byte_start") / w)).otherwise(0).cast("long"))
+        data = self.ranges.select(*FILE, "range_no", "size", F.col("begin").alias("data_begin"), "data")
+        data_end = F.col("data_begin") + F.octet_length("data")
+        text = F.substr("data", (F.col("byte_start") - F.col("data_begin") + 1).cast("int"), (F.col("byte_end") - F.col("byte_start")).cast("int"))
+        held = (
+            F.when(~F.coalesce(named, F.lit(False)) | F.col("size").isNull() | (F.col("byte_end") > F.col("size")), False)
+            .when(F.col("byte_end") > data_end, F.lit(None))
+            .otherwise(F.sha2(text, 256) == F.lower("content_hash"))
+        )
+        joined = keyed.join(data, [*FILE, "range_no"], "left")
+        out = joined.select(*[c for c in once.columns if c != "content_hash"], "size", F.when(module, True).otherwise(held).alias("held"), "content_hash")
+        return out.withColumn("content_hash", F.when(F.coalesce("held", F.lit(False)), F.lit(None)).otherwise(F.lower("content_hash")))
 
     def spans(self) -> DataFrame:
         """Verified spans over the limit: repo_id, path, symbol_id, kind, span_begin, span_end, max_bytes, overlap_bytes."""
-        part = self.symbols.filter("kind <> 'module'")
-        by_line = line_spans(part, line_tables(self.ranges, self.width), self.width).select(*FILE, "symbol_id", "content_hash", "begin", "end")
-        by_byte = part.filter("byte_start >= 0 AND byte_end > byte_start AND byte_end <= size").select(*FILE, "symbol_id", "content_hash", F.col("byte_start").cast("long").alias("begin"), F.col("byte_end").cast("long").alias("end"))
-        about = self.symbols.select("symbol_id", *FILE, "content_hash", "kind", "max_bytes", "overlap_bytes").dropDuplicates(["symbol_id", *FILE, "content_hash"])
-        long = (
-            by_line.unionByName(by_byte)
-            .distinct()
-            .join(about, ["symbol_id", *FILE, "content_hash"])
-            .filter("end - begin > max_bytes")
-        )
+        columns = [*FILE, "symbol_id", "kind", "span_begin", "span_end", "max_bytes", "overlap_bytes"]
+        module = F.col("kind") == "module"
+        held = self.symbols.filter("held AND size IS NOT NULL")
+        held = held.withColumn("span_begin", F.when(module, 0).otherwise(F.col("byte_start")).cast("long")).withColumn("span_end", F.when(module, F.col("size")).otherwise(F.col("byte_end")).cast("long"))
+        held = held.filter("span_end - span_begin > max_bytes").select(columns)
+        # the rest, by far the fewer: the line fields are resolved, and what is too long is hashed
+        rest = self.symbols.filter("(held IS NULL OR NOT held) AND kind <> 'module'")
+        by_line = line_spans(rest, self.scratch.cut(line_tables(self.ranges, self.width)), self.width).select(*FILE, "symbol_id", "content_hash", "begin", "end")
+        by_byte = rest.filter("held IS NULL").select(*FILE, "symbol_id", "content_hash", F.col("byte_start").cast("long").alias("begin"), F.col("byte_end").cast("long").alias("end"))
+        about = rest.select("symbol_id", *FILE, "content_hash", "kind", "max_bytes", "overlap_bytes").dropDuplicates(["symbol_id", *FILE, "content_hash"])
+        long = by_line.unionByName(by_byte).distinct().join(about, ["symbol_id", *FILE, "content_hash"]).filter("end - begin > max_bytes")
         w = self.width
         parts = long.withColumn("range_no", F.explode(F.sequence(F.floor(F.col("begin") / w), F.floor((F.col("end") - 1) / w))))
-        data = self.ranges.select(*FILE, "range_no", F.col("begin").alias("data_begin"), "data")
+        data = self.ranges.select(*FILE, "range_no", F.col("begin").alias("data_begin"), "data").join(parts.select(*FILE, "range_no").distinct(), [*FILE, "range_no"], "left_semi")
         cut_from = F.greatest("begin", F.col("range_no") * w)
         cut_to = F.least("end", (F.col("range_no") + 1) * w)
         slices = parts.join(data, [*FILE, "range_no"]).select(
@@ -195,10 +220,7 @@ class Oversized:
         in_order = slices.repartition(*keys).sortWithinPartitions(*keys, "range_no")
         right = in_order.mapInPandas(_digests, "symbol_id long, span_begin long, span_end long")
         verified = long.withColumnsRenamed({"begin": "span_begin", "end": "span_end"}).join(right, ["symbol_id", "span_begin", "span_end"], "left_semi")
-        modules = self.symbols.filter("kind = 'module' AND size > max_bytes").select(
-            *FILE, "symbol_id", "kind", F.lit(0).cast("long").alias("span_begin"), F.col("size").alias("span_end"), "max_bytes", "overlap_bytes"
-        )
-        return verified.select(modules.columns).unionByName(modules).dropDuplicates(["symbol_id"])
+        return held.unionByName(verified.select(columns)).dropDuplicates(["symbol_id"])
 
     def pieces(self) -> DataFrame:
         """symbol_id, piece (from 1), byte_start, byte_end (in the file), boundary (what the piece ends at)."""
