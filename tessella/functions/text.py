@@ -1,0 +1,87 @@
+"""Column functions over paths, queries and prose; all built-in, none in Python."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, functions as F
+
+# Characters of a query that separate terms, besides blanks.
+QUERY_SEPARATORS = r'[\x00-\x1f\x7f"*():^-]'
+# Subjects of a change that say nothing about its purpose.
+BOILERPLATE = (
+    r"(?i)^(wip|fixup|squash|fix|fixes|fixed|bug ?fix|update|updates|updated|cleanup|clean ?up|refactor|refactoring|misc|minor|tweak|tweaks"
+    r"|nit|nits|typo|typos|lint|format|formatting|style|rename|address (review|comments|feedback)|review (fixes|feedback)|pr feedback|comments"
+    r"|bump|bump (version|deps|dependencies)|version bump|release|initial commit|first commit|init|initial|checkpoint|save|temp|tmp|test|tests"
+    r"|more tests|add tests|docs|doc|documentation|readme|chore|revert.*|merge.*|v?\d+(\.\d+)*)$"
+)
+WORD = r"[\p{L}\p{N}]+"
+
+
+def is_test_path(path) -> Column:
+    """A test by directory (tests, test, testing) or by file name (test_*, *_test.py, conftest.py)."""
+    p = F.replace(path, F.lit("\\"), F.lit("/"))
+    return p.rlike(r"(^|/)(tests|test|testing)/") | p.rlike(r"(^|/)(test_[^/]*|[^/]*_test\.py|conftest\.py)$")
+
+
+def module_qualname(path) -> Column:
+    """Dotted name of a source path; a package's __init__ is the package."""
+    p = F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"\.py$", "")
+    parts = F.filter(F.split(p, "/"), lambda x: (x != "") & (x != "."))
+    keep = F.when(F.element_at(parts, -1) == "__init__", F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
+    return F.array_join(keep, ".")
+
+
+def path_escapes(path) -> Column:
+    """A path that may leave its root: empty, absolute, with NUL or with a '..' component."""
+    p = F.replace(path, F.lit("\\"), F.lit("/"))
+    return path.isNull() | (p == "") | p.rlike(r"^(/|[A-Za-z]:)") | p.contains("\0") | p.rlike(r"(^|/)\.\.(/|$)")
+
+
+def tokens(text) -> Column:
+    """Lower-cased runs of letters and digits."""
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+
+
+def query_terms(query) -> Column:
+    """Terms of a query: separators become blanks, the rest is split at blanks."""
+    return F.filter(F.split(F.regexp_replace(query, QUERY_SEPARATORS, " "), r"\s+"), lambda t: t != "")
+
+
+def squeezed(text) -> Column:
+    """Runs of ASCII blanks as one blank, none at the ends."""
+    return F.trim(F.regexp_replace(text, r"[ \t\n\r\f\x0b]+", " "))
+
+
+def slug(text) -> Column:
+    return F.substring(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "-"), r"^-+|-+$", ""), 1, 60)
+
+
+def without_fences(text) -> Column:
+    """Fenced code blocks as line ends."""
+    return F.regexp_replace(text, r"(?s)```.*?```", "\n")
+
+
+def without_trailers(text) -> Column:
+    """Text without the ``Key: value`` and blank lines at its end."""
+    return F.btrim(F.regexp_replace(text, r"(\n[ \t\r]*([A-Za-z][A-Za-z0-9-]*:[ \t][^\n]*)?)+$", ""), F.lit(" \t\r\n"))
+
+
+def code_ratio(text) -> Column:
+    """Brackets and assignment signs per word."""
+    return F.try_divide(F.regexp_count(text, F.lit(r"[=(){}\[\]]")), F.size(F.filter(F.split(text, r"[ \t\n\r\f\x0b]+"), lambda w: w != "")))
+
+
+def looks_like_code(text) -> Column:
+    return F.coalesce(code_ratio(text) >= 1.0, F.lit(False))
+
+
+def is_boilerplate(subject) -> Column:
+    """A change's subject that states no purpose: empty, a stock phrase, or two words and fewer."""
+    s = squeezed(subject)
+    s = F.trim(F.regexp_replace(F.regexp_replace(s, r"^[A-Za-z][A-Za-z0-9_.]*(\([^)]*\))?!?: *", ""), r"\.+$", ""))
+    return (s == "") | s.rlike(BOILERPLATE) | (F.size(F.split(s, " ")) <= 2)
+
+
+def tier_of(modality) -> Column:
+    """Provenance tier of a modality label such as ``dense+graph``: the least of its parts."""
+    parts = F.split(modality, r"\+")
+    return F.array_min(F.transform(parts, lambda m: F.when(m.isin("lexical", "dense"), 0).when(m == "graph", 1).otherwise(2)))
