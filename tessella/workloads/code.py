@@ -130,20 +130,20 @@ def _spans(spark, d):
 
 
 @query(f"select repo_id, span_id, path, reason from {_CHECKED}")
-def p4_span_check(spark, d):
+def spans_p4(spark, d):
     return code.checked_spans(_spans(spark, d), table(spark, d, "snapshots"))
 
 
 @query(f"select repo_id, reason, count(*) as n from {_CHECKED} group by all")
 def d8_refresh_report(spark, d):
-    return p4_span_check(spark, d).groupBy("repo_id", "reason").agg(F.count("*").alias("n"))
+    return spans_p4(spark, d).groupBy("repo_id", "reason").agg(F.count("*").alias("n"))
 
 
 @query(f"""select repo_id, span_id, case when length(trim(claim)) = 0 then 'empty_claim' when not coalesce(byte_start >= 0 and byte_end > byte_start and line_start >= 1 and line_end >= line_start, false) then 'invalid_span'
  when regexp_matches(path, '(^|/)\\.\\.(/|$)') or path like '/%' then 'span_escapes_repo' when coalesce(trim(content_hash), '') = '' then 'evidence_unverifiable'
  when (repo_id, subject) not in (select (repo_id, qualname) from symbols where kind <> 'module') then 'unknown_subject'
  when reason = 'unreadable' then 'evidence_unverifiable' when reason <> 'ok' then 'evidence_stale' end as refusal from {_CHECKED}""")
-def p1_gate(spark, d):
+def gate_p1(spark, d):
     return code.admission(_spans(spark, d), table(spark, d, "symbols").filter("kind <> 'module'"), table(spark, d, "snapshots"))
 
 
