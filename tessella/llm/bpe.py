@@ -60,17 +60,20 @@ class MergeList:
         self.bytes_of = {i: b for b, i in ids.items()}
         self.rank: dict[tuple[int, int], int] = {}
         self.made: dict[int, tuple[int, int, int]] = {}  # token -> (left, right, rank)
-        for r, (a, b) in enumerate(merges):
-            pair = (ids[a], ids[b])
-            self.rank.setdefault(pair, r)
-            self.made.setdefault(ids[a + b], (*pair, r))
-        # single bytes and merge results; other entries (special tokens) are never produced
-        self.usable = {b: i for b, i in ids.items() if len(b) == 1 or i in self.made}
-        self.max_token = max(map(len, self.usable))
-        self.suffixes = {b[k:] for b in self.usable for k in range(len(b))}
         self._left: dict[int, list[tuple[int, float]]] = {}
         self._right: dict[int, list[tuple[int, float]]] = {}
         self._stable: dict[tuple[int, int], bool] = {}
+        for r, (a, b) in enumerate(merges):
+            self.rank.setdefault((ids[a], ids[b]), r)
+        # a token is usable if its own bytes come to it: its halves are, and no earlier merge crosses
+        # their seam; other entries (special tokens, shadowed merges) are never produced
+        self.usable = {b: i for b, i in ids.items() if len(b) == 1}
+        for r, (a, b) in enumerate(merges):
+            if a + b not in self.usable and a in self.usable and b in self.usable and not self._crossed(ids[a], ids[b], r):
+                self.made[ids[a + b]] = (ids[a], ids[b], r)
+                self.usable[a + b] = ids[a + b]
+        self.max_token = max(map(len, self.usable))
+        self.suffixes = {b[k:] for b in self.usable for k in range(len(b))}
 
     @classmethod
     def load(cls, path: str) -> MergeList:
@@ -107,23 +110,25 @@ class MergeList:
     def stable(self, a: int, b: int) -> bool:
         """Whether the merge list leaves the seam between tokens ``a`` and ``b`` alone."""
         known = self._stable.get((a, b))
-        if known is not None:
-            return known
+        if known is None:
+            if len(self._stable) > 2_000_000:
+                self._stable.clear()
+            known = self._stable[a, b] = not self._crossed(a, b, float("inf"))
+        return known
+
+    def _crossed(self, a: int, b: int, before: float) -> bool:
+        """Whether some merge of lower rank than ``before`` joins parts on either side of the seam."""
         if a not in self._right:
             self._right[a] = self._spine(a, 1)
         if b not in self._left:
             self._left[b] = self._spine(b, 0)
-        ok = True
         for x, x_gone in self._right[a]:
             for y, y_gone in self._left[b]:
                 r = self.rank.get((x, y))
                 # of equal merges the leftmost comes first: one inside a wins, one inside b does not
-                if r is not None and r < x_gone and r <= y_gone:
-                    ok = False
-        if len(self._stable) > 2_000_000:
-            self._stable.clear()
-        self._stable[a, b] = ok
-        return ok
+                if r is not None and r < before and r < x_gone and r <= y_gone:
+                    return True
+        return False
 
 
 class Transducer:

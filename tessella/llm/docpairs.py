@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 _STOP = re.compile(r"""["'#()\[\]{}\n]|\\\n""")
 _HEAD = re.compile(r"(?:async[ \t\\\n]+)?def[ \t\\\n]+([^\W\d]\w*)|class[ \t\\\n]+([^\W\d]\w*)|@")
 _RESTART = re.compile(r"[ \t]*(?:async[ \t]+def|def|class)[ \t]+[^\W\d]\w*[ \t]*[(:\[]")
-_MARKER = re.compile(r"(?:<{7}|={7}|>{7}|\|{7})(?: |$)")
+_MARKER = re.compile(r"(?:<{7}|={7}|>{7}|\|{7})(?=[ \n]|\Z)")
 _CLOSERS = {
     '"""': re.compile(r'(?:[^\\]|\\.)*?"""', re.S),
     "'''": re.compile(r"(?:[^\\]|\\.)*?'''", re.S),
@@ -172,7 +172,8 @@ def _header_end(text: str, line: _Line, start: int) -> int:
 
 
 def _parameters(signature: str) -> list[str]:
-    """Parameter names of a signature, by splitting at commas outside brackets."""
+    """Parameter names of a signature, by splitting at commas outside brackets and strings."""
+    signature = re.sub(r"""("|')(?:[^\\]|\\.)*?\1""", "''", signature)
     open_at = signature.find("(")
     if open_at < 0:
         return []
