@@ -151,3 +151,31 @@ def gate_p1(spark, d):
 def d1_count_by_kind(spark, d):
     kinds = spark.createDataFrame([(k,) for k in ("module", "class", "function", "method", "property")], "kind string")
     return kinds.join(_symbols(spark, d).groupBy("kind").count(), "kind", "left").select("kind", F.coalesce("count", F.lit(0)).alias("n"))
+
+
+@query()
+def e1_extracted_symbols(spark, d):
+    from tessella.operators.extract import extract_graph
+
+    return extract_graph(table(spark, d, "snapshots"))[0].select("repo_id", "path", "kind", "qualname", "line_start", "line_end", "byte_start", "byte_end", "content_hash")
+
+
+@query()
+def e10_resolved_edges(spark, d):
+    from tessella.operators.extract import extract_graph, resolve
+
+    symbols, edges = extract_graph(table(spark, d, "snapshots"))
+    return resolve(edges, symbols)
+
+
+@query()
+def d4_resolution_rates(spark, d):
+    from tessella.operators.extract import extract_graph, resolution_rates, resolve
+
+    symbols, edges = extract_graph(table(spark, d, "snapshots"))
+    return resolution_rates(resolve(edges, symbols), symbols)
+
+
+@query()
+def d2_by_resolver(spark, d):
+    return e10_resolved_edges(spark, d).groupBy("resolver").agg(F.count("*").alias("n"), F.avg("confidence").alias("confidence"))
