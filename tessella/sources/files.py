@@ -1,0 +1,41 @@
+"""Source files of a working tree as a snapshot table."""
+
+from __future__ import annotations
+
+import subprocess
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+# Folders that hold no sources of their own.
+SKIPPED = ".git .hg .svn .venv venv env __pycache__ .tox .nox .mypy_cache .pytest_cache .ruff_cache node_modules build dist .eggs site-packages .idea .vscode".split()
+_SAFE_GIT = ["git", "-c", "core.fsmonitor=false", "-c", "core.hooksPath=/dev/null"]
+
+
+def tracked_files(root: str, timeout: int = 30) -> list[str] | None:
+    """Paths of the tracked Python files; None where git has none to give."""
+    if not (Path(root) / ".git").exists():
+        return None
+    try:
+        out = subprocess.run([*_SAFE_GIT, "-C", root, "ls-files", "-z", "--", "*.py"], capture_output=True, timeout=timeout, env={"PATH": "/usr/bin:/bin", "GIT_CONFIG_NOSYSTEM": "1"})
+    except (OSError, subprocess.TimeoutExpired):
+        return None
+    names = sorted(n.decode("utf-8", "surrogateescape") for n in out.stdout.split(b"\0") if n)
+    return names or None if out.returncode == 0 else None
+
+
+def read_tree(spark: SparkSession, root: str, repo_id: str) -> DataFrame:
+    """(repo_id, path, state, bytes, mtime_ns, size_bytes): tracked files, or else all below ``root`` outside skipped folders.
+
+    Contents are read by the executors.
+    """
+    base = Path(root).resolve().as_uri()
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.py").load(str(Path(root).resolve()))
+    rows = found.select(F.expr(f"substr(path, {len(base.replace('file://', 'file:')) + 2})").alias("path"), F.lit("present").alias("state"), F.col("content").alias("bytes"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.col("length").alias("size_bytes"))
+    tracked = tracked_files(root)
+    if tracked is not None:
+        rows = rows.join(spark.createDataFrame([(p,) for p in tracked], "path string"), "path", "left_semi")
+    else:
+        parts = F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1)
+        rows = rows.filter(~F.arrays_overlap(parts, F.array(*map(F.lit, SKIPPED))))
+    return rows.select(F.lit(repo_id).alias("repo_id"), "path", "state", "bytes", "mtime_ns", "size_bytes")
