@@ -76,7 +76,8 @@ def source_chunks(symbols: DataFrame, snapshots: DataFrame) -> DataFrame:
     """(repo_id, symbol_id, text) of functions and methods: header and source slice, long ones truncated."""
     files = current_states(snapshots).filter("state = 'present' AND bytes IS NOT NULL").select("repo_id", "path", "bytes")
     some = chunk_headers(symbols.filter("kind IN ('function', 'method') AND byte_start >= 0 AND byte_end > byte_start"))
-    part = F.decode(F.substr("bytes", F.col("byte_start") + 1, F.col("byte_end") - F.col("byte_start")), "UTF-8")
+    # a wrong span may cut a character; what is no UTF-8 becomes replacement marks
+    part = F.make_valid_utf8(F.substr("bytes", F.col("byte_start") + 1, F.col("byte_end") - F.col("byte_start")).cast("string"))
     body = F.when(F.length(part) > MAX_CHUNK_CHARS, F.concat(F.substring(part, 1, MAX_CHUNK_CHARS), F.lit(TRUNCATED))).otherwise(part)
     rows = some.join(files, ["repo_id", "path"]).select("repo_id", "symbol_id", "header", body.alias("body"))
     return rows.filter(F.length("body") > 0).select("repo_id", "symbol_id", F.concat_ws("\n", "header", "body").alias("text"))

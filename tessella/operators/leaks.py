@@ -9,29 +9,39 @@ from tessella.functions.text import squeezed
 WINDOW = 32
 
 
+def text_classes(texts: DataFrame, key: str) -> DataFrame:
+    """(key, rep): texts that are equal after squeezing, with the least key of their class."""
+    t = texts.filter(F.col("text").isNotNull()).select(key, F.xxhash64(squeezed(F.col("text"))).alias("h"), F.md5(squeezed(F.col("text"))).alias("m"))
+    reps = t.groupBy("h", "m").agg(F.min(key).alias("rep"))
+    return t.join(reps, ["h", "m"]).select(key, "rep").distinct()
+
+
 def shared_windows(secrets: DataFrame, texts: DataFrame, window: int = WINDOW) -> DataFrame:
     """(secret_id, text_id): pairs whose blank-squeezed texts share ``window`` characters in a row.
 
-    Of the texts only every ``window/2``-th position is a probe of half a window's length: any shared
-    window holds a whole probe.  Secrets give probes at every position.  Probes join by hash and
-    value, and the characters around a match decide whether it grows to a window.  Repeated texts
-    cost one row per probe; null and shorter texts match nothing.
+    Copies count once: the pairs are of the least id of each class of equal texts on either side, and
+    ``text_classes`` tells the members.  Of the texts only every ``window/4``-th position is a probe,
+    three quarters of a window long: any shared window holds a whole probe.  Secrets give probes at
+    every position.  The characters around a match decide whether it grows to a window.  Null and
+    shorter texts match nothing.
     """
-    half = window // 2
+    step = window // 4
+    size = window - step + 1
+    side = step - 1
 
-    def probes(df: DataFrame, key: str, step: int) -> DataFrame:
-        t = df.select(F.col(key), squeezed(F.col("text")).alias("t")).filter(F.length("t") >= window)
-        at = t.select(key, "t", F.explode(F.sequence(F.lit(1), F.length("t") - half + 1, F.lit(step))).alias("p"))
-        left = F.substr("t", F.greatest(F.lit(1), F.col("p") - half), F.least(F.lit(half), F.col("p") - 1))
-        return at.select(key, F.substr("t", F.col("p"), F.lit(half)).alias("gram"), left.alias("left"), F.substr("t", F.col("p") + half, F.lit(half)).alias("right"))
+    def probes(df: DataFrame, key: str, every: int) -> DataFrame:
+        t = df.select(F.col(key), squeezed(F.col("text")).alias("t")).filter(F.length("t") >= window).groupBy("t").agg(F.min(key).alias(key))
+        at = t.select(key, "t", F.explode(F.sequence(F.lit(1), F.length("t") - size + 1, F.lit(every))).alias("p"))
+        left = F.substr("t", F.greatest(F.lit(1), F.col("p") - side), F.least(F.lit(side), F.col("p") - 1))
+        return at.select(key, F.substr("t", F.col("p"), F.lit(size)).alias("gram"), left.alias("left"), F.substr("t", F.col("p") + size, F.lit(side)).alias("right"))
 
-    s = probes(secrets, "secret_id", 1).select("secret_id", "gram", F.col("left").alias("l1"), F.col("right").alias("r1"))
-    x = probes(texts, "text_id", half).select("text_id", "gram", F.col("left").alias("l2"), F.col("right").alias("r2"))
+    s = probes(secrets, "secret_id", 1).select("secret_id", "gram", F.col("left").alias("l1"), F.col("right").alias("r1")).distinct()
+    x = probes(texts, "text_id", step).select("text_id", "gram", F.col("left").alias("l2"), F.col("right").alias("r2")).distinct()
 
     def grows(i: Column) -> Column:
-        j = F.lit(half) - i
+        j = F.lit(side) - i
         same_left = (F.length("l1") >= i) & (F.length("l2") >= i) & (F.right("l1", i) == F.right("l2", i))
         return same_left & (F.length("r1") >= j) & (F.length("r2") >= j) & (F.left("r1", j) == F.left("r2", j))
 
-    joined = s.join(x, "gram").filter(F.exists(F.sequence(F.lit(0), F.lit(half)), grows))
+    joined = s.join(x, "gram").filter(F.exists(F.sequence(F.lit(0), F.lit(side)), grows))
     return joined.select("secret_id", "text_id").distinct()

@@ -37,22 +37,25 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     Documents are read twice, for lengths and for postings, and only postings of asked tokens are
     kept before anything is shuffled.
     """
-    terms = phrase_terms(queries)
+    said = phrase_terms(queries)
+    # a unit is a token sequence; each is counted in the documents once, however many queries say it
+    unit = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "token"))), lambda r: r["token"]), " ")
+    asked = said.groupBy("query_id", "term").agg(unit.alias("unit")).groupBy("query_id", "unit").agg(F.count("*").alias("times"))
+    units = asked.select("unit").distinct().withColumn("ts", F.split("unit", " ")).select("unit", F.size("ts").alias("n"), F.posexplode("ts").alias("i", "token"))
     words = docs.filter(F.col("text").isNotNull()).select("doc_id", tokens(F.col("text")).alias("ts"))
     stats = words.agg(F.count("*").alias("n_docs"), F.avg(F.size("ts")).alias("avg_len"))
     postings = words.select("doc_id", F.size("ts").alias("len"), F.posexplode("ts").alias("pos", "token"))
-    asked = postings.join(terms.select("token").distinct(), "token")
-    at = asked.join(terms, "token").withColumn("start", F.col("pos") - F.col("i"))
-    whole = at.filter("n = 1").select("query_id", "term", "doc_id", "len").unionByName(
-        at.filter("n > 1").groupBy("query_id", "term", "doc_id", "len", "start", "n").agg(F.count("*").alias("c")).filter("c = n").select("query_id", "term", "doc_id", "len")
-    )
-    tf = whole.groupBy("query_id", "term", "doc_id", "len").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("query_id", "term").agg(F.count("*").alias("df"))
+    at = postings.join(units, "token")
+    starts = at.filter("n > 1").groupBy("unit", "doc_id", "len", "n", (F.col("pos") - F.col("i")).alias("start")).agg(F.count("*").alias("c")).filter("c = n")
+    whole = at.filter("n = 1").select("unit", "doc_id", "len").unionByName(starts.select("unit", "doc_id", "len"))
+    tf = whole.groupBy("unit", "doc_id", "len").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("unit").agg(F.count("*").alias("df"))
     raw = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw <= 0, LEAST_IDF).otherwise(raw)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scored = tf.join(df, ["query_id", "term"]).crossJoin(stats).withColumn("part", part)  # stats is one row
-    return ranked(scored.groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score")), "doc_id", k)
+    weighed = tf.join(df, "unit").crossJoin(stats).select("unit", "doc_id", part.alias("part"))  # stats is one row
+    scored = weighed.join(asked, "unit").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("part") * F.col("times")), 6).alias("score"))
+    return ranked(scored, "doc_id", k)
 
 
 def ranked(scores: DataFrame, id_col: str, k: int | None) -> DataFrame:

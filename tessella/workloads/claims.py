@@ -159,10 +159,10 @@ def m20_zero_failure_bound(spark, d):
 _SQ = r"trim(regexp_replace(text, '[ \t\n\r\f\x0b]+', ' ', 'g'))"
 
 
-@query(f"""with s as (select distinct assertion_id as secret_id, {_SQ.replace('text', 'claim')} as t from assertions), x as (select doc_id as text_id, {_SQ} as t from documents),
+@query(f"""with s as (select min(assertion_id) as secret_id, {_SQ.replace('text', 'claim')} as t from assertions where claim is not null group by t), x as (select min(doc_id) as text_id, {_SQ} as t from documents where text is not null group by t),
  a as (select distinct secret_id, substr(t, p, 32) as g from (select secret_id, t, unnest(generate_series(1, length(t) - 31)) as p from s where length(t) >= 32)),
  b as (select distinct text_id, substr(t, p, 32) as g from (select text_id, t, unnest(generate_series(1, length(t) - 31)) as p from x where length(t) >= 32))
  select distinct secret_id, text_id from a join b using (g)""")
 def j14_leaks(spark, d):
-    secrets = table(spark, d, "assertions").select(F.col("assertion_id").alias("secret_id"), F.col("claim").alias("text")).distinct()
+    secrets = table(spark, d, "assertions").select(F.col("assertion_id").alias("secret_id"), F.col("claim").alias("text"))
     return leaks.shared_windows(secrets, table(spark, d, "documents").select(F.col("doc_id").alias("text_id"), "text"))

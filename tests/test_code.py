@@ -83,6 +83,13 @@ def test_span_reasons(spark):
     assert got == {1: "ok", 2: "hash_mismatch", 3: "span_truncated", 4: "unreadable", 5: "file_missing", 6: "file_missing", 7: "invalid_span", 8: "invalid_span"}
 
 
+def test_source_chunks_of_wrong_spans(spark):
+    snaps = spark.createDataFrame([("r", "a", "present", "é = 1".encode(), 2, 5)], SNAP)
+    syms = spark.createDataFrame([("r", 1, "a", "function", "f", "a.f", None, 1, 2, b, 6, None, None) for b in (0, 1)], "repo_id string, symbol_id long, path string, kind string, name string, qualname string, parent_qualname string, line_start int, line_end int, byte_start int, byte_end int, docstring string, signature string")
+    got = sorted(r.text.split("\n")[-1] for r in code.source_chunks(syms, snaps).collect())
+    assert got == ["é = 1", "\ufffd = 1"]
+
+
 def test_index_of_a_tree(spark, tmp_path):
     from tessella.api import Index
 

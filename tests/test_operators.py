@@ -123,15 +123,23 @@ def test_leaks_equal_brute_force(spark):
     texts = [word(80) for _ in range(25)]
     secrets = [word(40) for _ in range(8)] + [t[i : i + 34] for i, t in enumerate(texts[:9])] + [None, "short", "a" * 31]
     squeeze = lambda s: " ".join(s.split())
+    texts.append(texts[3])
     want = set()
+    first = lambda x, of: next(k for k, y in enumerate(of) if y is not None and squeeze(y) == x)
     for i, s in enumerate(secrets):
-        s = squeeze(s or "")
-        for j, t in enumerate(texts):
+        if s is None:
+            continue
+        s = squeeze(s)
+        i = first(s, secrets)
+        for t in texts:
             t = squeeze(t)
+            j = first(t, texts)
             if any(s[k : k + 32] in t for k in range(len(s) - 31)):
                 want.add((i, j))
     got = leaks.shared_windows(df(spark, "secret_id long, text string", *enumerate(secrets)), df(spark, "text_id long, text string", *enumerate(texts), (99, None)))
     assert {tuple(r) for r in got.collect()} == want and want
+    classes = {r.text_id: r.rep for r in leaks.text_classes(df(spark, "text_id long, text string", *enumerate(texts)), "text_id").collect()}
+    assert classes[25] == 3 and classes[4] == 4
 
 
 def test_statistics(spark):
