@@ -21,5 +21,8 @@ def spark(tmp_path_factory):
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
+    from tessella.plans.ship import ship
+
+    ship(s)
     yield s
     s.stop()
