@@ -12,8 +12,8 @@ Three kinds of evidence are combined per text as log odds:
   half a character.  The *habits of the source* say which ends are natural without a sentence end:
   frames of last lines that complete inner lines, or a fair share of the source's texts, have too.
 * **Last word.**  Words are counted over the whole corpus, inside lines and at their ends.  A last
-  word never seen elsewhere was cut itself; a common word that never ends a line or sentence was
-  followed by more.
+  word never seen elsewhere was cut itself; a common word that never ends a line, sentence or
+  unsuspected text was followed by more.
 
 One pass in Python writes features, word counts and frame counts (pre-counted per batch); all else
 is joins and sums over small rows.  Look-ups of hot words and frames are salted.
@@ -43,9 +43,11 @@ SALTS = 8
 LEAST_AT_LIMIT, LEAST_RATIO, NEARBY = 5, 6.0, 25
 #: Log odds of the kinds of evidence.
 BASE, AT_MOST = 0.03, 0.99
-HABIT, NO_HABIT, BROKEN_WORD, KNOWN_WORD, LONGER_ONCE, LINE_ENDED = -4.3, 4.5, 9.0, -0.5, 3.0, -5.0
+HABIT, NO_HABIT, BROKEN_WORD, RARE_WORD, WEAK_WORD, KNOWN_WORD, LONGER_ONCE, LINE_ENDED = -4.3, 4.5, 9.0, 3.0, 1.5, -0.5, 3.0, -5.0
 #: A frame is a habit if this many inner lines, and this share of a source's inner lines, have it, or this share of a source's texts end with it.
 INNER_LINES, INNER_SHARE, END_SHARE, PROSE_SHARE = 3, 0.002, 0.01, 0.5
+#: A word closes texts of a frame as a habit if so large a share of them ends with it.
+CLOSING_SHARE = 0.005
 
 _MARK = re.compile(r"(?i)(?:[\[(<{]\s*(?:\.{2,}|…|truncated|cut(?: off)?|snip(?:ped)?|more|cont(?:inued|\.)?)\s*[\])>}]|\.{3,}|…)[\"'`]*$")
 _SO_ON = re.compile(r"(?i)(?:so on|so forth|etc|et cetera|and more|the like|so weiter|usw|ainsi de suite|etcétera|así sucesivamente|等|など)[.,\s]*(?:\.{2,}|…)[\"'`]*$")
@@ -328,29 +330,38 @@ def truncation_scores(docs: DataFrame, scratch: Scratch | None = None) -> tuple[
     )
     sums = [F.sum(c).alias(c) for c in ("n_end", "n_any", "n_inner")]
     frames = scratch.cut(both.groupBy("source", "frame").agg(*sums))
-    # a missing source may rely on the habits of all sources
-    shared = frames.groupBy("frame").agg(*sums).withColumn("source", F.lit("\0"))
-    frames = frames.filter(F.col("source") != "\0").unionByName(shared)
     sizes = frames.groupBy("source").agg(F.sum("n_any").alias("n_texts"), F.sum("n_inner").alias("n_lines"))
     least = F.when(F.col("frame") == "prose", PROSE_SHARE).otherwise(END_SHARE) * F.col("n_texts")
-    habits = (
-        frames.join(sizes, "source")
-        .filter((F.col("n_inner") >= INNER_LINES) & (F.col("n_inner") >= INNER_SHARE * F.col("n_lines")) | ((F.col("n_end") >= 3) & (F.col("n_end") >= least)))
-        .select("source", "frame", F.lit(True).alias("habit"))
-    )
+    # whole log lines and list items are inner lines elsewhere; their ends alone prove nothing
+    by_ends = ~F.col("frame").rlike(r"^(log|list)\|") & (F.col("n_end") >= 3) & (F.col("n_end") >= least)
+    by_lines = (F.col("n_inner") >= INNER_LINES) & (F.col("n_inner") >= INNER_SHARE * F.col("n_lines"))
+    habits = frames.join(sizes, "source").filter(by_lines | by_ends).select("source", "frame").distinct()
+    # a missing source may rely on the habits of every other
+    habits = scratch.cut(habits.unionByName(habits.select(F.lit("\0").alias("source"), "frame")).distinct().withColumn("habit", F.lit(True)))
 
     asked = ends.filter(F.col("verdict") == UNSURE)
     wanted = asked.filter(F.col("word").isNotNull()).select("word").distinct()
     lexicon = seen.filter(F.col("kind") == WORD).join(wanted, "word", "left_semi").groupBy("word").agg(F.sum("a").alias("seen"), F.sum("b").alias("final"))
-    open_word = F.coalesce(F.col("seen") < 2, F.lit(True)) | ((F.col("seen") >= 20) & (F.col("final") < 0.002 * F.col("seen")))
+    # words that end unsuspected texts are final words too: of all texts, and of those with the same frame
+    closing = asked.filter(F.col("word").isNotNull() & unsuspected).select("source", "frame", "word", "digest").distinct().groupBy("source", "frame", "word").agg(F.count("*").alias("n_closing"))
+    closing = scratch.cut(closing)
+    lexicon = lexicon.join(closing.groupBy("word").agg(F.sum("n_closing").alias("all_closing")), "word", "left")
+    usual = closing.join(closing.groupBy("source", "frame").agg(F.sum("n_closing").alias("n")), ["source", "frame"])
+    usual = usual.filter((F.col("n_closing") >= 3) & (F.col("n_closing") >= CLOSING_SHARE * F.col("n"))).select("source", "frame", "word", F.lit(True).alias("usual"))
     looked = (
         asked.join(habits.select("*", salts), ["source", "frame", "salt"], "left")
         .join(lexicon.select("*", salts), ["word", "salt"], "left")
+        .join(usual.select("*", salts), ["source", "frame", "word", "salt"], "left")
     )
+    final = F.col("final") + F.coalesce("all_closing", F.lit(0))
+    never_final = (F.col("seen") >= 20) & (final < 0.002 * F.col("seen"))
+    open_word = F.col("usual").isNull() & (F.coalesce(F.col("seen") < 2, F.lit(True)) | never_final)
+    weak_word = F.col("usual").isNull() & (final < 0.02 * F.col("seen"))
+    rare_word = F.col("usual").isNull() & (F.col("seen") < 20) & (final <= 1)
     score = (
         F.log(F.col("p") / (1 - F.col("p")))
         + F.when(F.col("habit"), HABIT).otherwise(NO_HABIT)
-        + F.when(F.col("word").isNull() | (F.col("habit") & F.startswith("frame", F.lit("bare|"))), 0.0).when(open_word, BROKEN_WORD).otherwise(KNOWN_WORD)
+        + F.when(F.col("word").isNull() | (F.col("habit") & F.startswith("frame", F.lit("bare|"))), 0.0).when(open_word, BROKEN_WORD).when(rare_word, RARE_WORD).when(weak_word, WEAK_WORD).otherwise(KNOWN_WORD)
         + F.when(F.col("n_chars") - F.col("chars") > 2, LONGER_ONCE).otherwise(0.0)
         + F.when(F.col("line_ended"), LINE_ENDED).otherwise(0.0)
     )
