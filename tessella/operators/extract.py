@@ -1,8 +1,9 @@
 """Symbols and reference edges from source files, and the names the edges resolve to.
 
 Extraction is the one stage that needs a parser: a narrow pass per file in Python.  Files that do
-not parse give their module and the definitions that indentation shows.  Resolution is joins only,
-one per strategy, tried in order of confidence.
+not parse are taken statement by statement (``recover``): indentation delimits definitions, each
+statement is parsed on its own, and one that does not parse gives its references by tokens.
+Resolution is joins only, one per strategy, tried in order of confidence.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from tessella.operators import recover
 from tessella.operators.code import current_states
 from tessella.plans.scratch import Scratch
 
@@ -59,8 +61,7 @@ class _File:
         try:
             tree = ast.parse(self.data)
         except (SyntaxError, ValueError, RecursionError, MemoryError):
-            self.symbol("module", self.module.rpartition(".")[2], self.module, None, None, (1, n_lines), (0, len(self.data)))
-            self._by_indent()
+            self._by_statement(n_lines)
             return self.rows
         self.symbol("module", self.module.rpartition(".")[2], self.module, None, None, (1, n_lines), (0, len(self.data)), _doc(tree))
         work = [(child, (self.module, "module", None)) for child in reversed(list(ast.iter_child_nodes(tree)))]
@@ -73,19 +74,22 @@ class _File:
                 rest = [(c, inner) for c in ast.iter_child_nodes(node) if c not in node.decorator_list]
                 work.extend(reversed(outer + rest))
                 continue
-            if isinstance(node, ast.Call):
-                self.edge(scope, "calls", self._source(node.func), node.lineno)
-            elif isinstance(node, ast.Import):
-                for a in node.names:
-                    self.edge(scope, "imports", a.name, node.lineno, a.asname or a.name.split(".")[0])
-            elif isinstance(node, ast.ImportFrom):
-                base = "." * node.level + (node.module or "")
-                for a in node.names:
-                    if a.name != "*":
-                        self.edge(scope, "imports", f"{base}.{a.name}" if base else a.name, node.lineno, a.asname or a.name)
+            self._reference(node, scope)
             work.extend((c, scope) for c in reversed(list(ast.iter_child_nodes(node))))
         return self.rows
 
+    def _reference(self, node, scope) -> None:
+        if isinstance(node, ast.Call):
+            self.edge(scope, "calls", self._source(node.func), node.lineno)
+        elif isinstance(node, ast.Import):
+            for a in node.names:
+                self.edge(scope, "imports", a.name, node.lineno, a.asname or a.name.split(".")[0])
+        elif isinstance(node, ast.ImportFrom):
+            base = "." * node.level + (node.module or "")
+            for a in node.names:
+                if a.name != "*":
+                    self.edge(scope, "imports", f"{base}.{a.name}" if base else a.name, node.lineno, a.asname or a.name)
+
     def _source(self, node) -> str:
         return self.data[self.at(node.lineno, node.col_offset) : self.at(node.end_lineno, node.end_col_offset)].decode("utf-8", "replace")
 
@@ -108,21 +112,61 @@ class _File:
         # the class that encloses what is inside: this one, or the one around
         return (qualname, kind, qualname if is_class else (scope[0] if scope[1] == "class" else scope[2]))
 
-    def _by_indent(self) -> None:
-        scopes: list[tuple[int, str, str]] = []
-        for i, line in enumerate(self.text.split("\n"), 1):
-            m = re.match(r"([ \t]*)(?:async[ \t]+)?(def|class)[ \t]+([^\W\d]\w*)[ \t]*[(:]", line)
-            if not m:
+    def _by_statement(self, n_lines: int) -> None:
+        """The rows of a file that does not parse."""
+        module = (self.module, "module", None)
+        self.symbol("module", self.module.rpartition(".")[2], self.module, None, None, (1, n_lines), (0, len(self.data)))
+        scopes: list[tuple[int, tuple, dict]] = [(-1, module, self.rows[0])]
+        first = self.rows[0]  # the row whose first statement comes next
+        decorators: tuple[int, int] | None = None
+        for st in recover.statements(self.data):
+            while len(scopes) > 1 and st.indent <= scopes[-1][0]:
+                self._close(scopes.pop()[2])
+            if first is not None and (len(scopes) == 1 or first is scopes[-1][2]):
+                first["docstring"] = st.docstring()
+            first = None
+            scope = scopes[-1][1]
+            head = st.head()
+            if head is None:
+                self._references_of(st, scope)
+                for _, _, row in scopes[1:]:
+                    row["line_end"], row["byte_end"] = st.last_line, st.code_end
+                if not st.is_decorator:
+                    decorators = None
+                elif decorators is None:
+                    decorators = (st.line, st.start)
                 continue
-            indent = len(m.group(1).expandtabs(8))
-            while scopes and scopes[-1][0] >= indent:
-                scopes.pop()
-            parent = scopes[-1][1] if scopes else self.module
-            kind = "class" if m.group(2) == "class" else "method" if scopes and scopes[-1][2] == "class" else "function"
-            qualname = f"{parent}.{m.group(3)}"
-            span = (self.starts[i - 1], self.starts[i] if i < len(self.starts) else len(self.data))
-            self.symbol(kind, m.group(3), qualname, parent, parent if kind == "method" else None, (i, i), span)
-            scopes.append((indent, qualname, kind))
+            is_class, name = head
+            kind = "class" if is_class else "method" if scope[1] == "class" else "function"
+            qualname = f"{scope[0]}.{name}"
+            owner = scope[0] if scope[1] == "class" else scope[2]
+            line, start = decorators or (st.line, st.start)
+            decorators = None
+            self.symbol(kind, name, qualname, scope[0], owner, (line, st.last_line), (start, st.code_end), st.inline_docstring(), None if is_class else st.signature(name))
+            for _, _, row in scopes[1:]:
+                row["line_end"], row["byte_end"] = st.last_line, st.code_end
+            inner = (qualname, kind, qualname if is_class else owner)
+            first = None if st.has_inline_body() else self.rows[-1]
+            scopes.append((st.indent, inner, self.rows[-1]))
+            if is_class:
+                for at, base in st.bases():
+                    self.edge((qualname, "class", None), "inherits", base, at)
+            self._references_of(st, inner)
+        for _, _, row in scopes[1:]:
+            self._close(row)
+
+    def _close(self, row: dict) -> None:
+        row["content_hash"] = hashlib.sha256(self.data[row["byte_start"] : row["byte_end"]]).hexdigest()
+
+    def _references_of(self, st: recover.Statement, scope) -> None:
+        for tree in st.trees():
+            work = [tree]
+            while work:
+                node = work.pop()
+                self._reference(node, scope)
+                work.extend(reversed(list(ast.iter_child_nodes(node))))
+        for kind, dst, line, local in st.token_references():
+            self.edge(scope, kind, dst, line, local)
 
 
 def _doc(node) -> str | None:
