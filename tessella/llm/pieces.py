@@ -15,9 +15,13 @@ halo on either side; everything after that works on ranges:
 5. A verified span is laid out in strides of equal length whose last part is the *cut zone*.  In
    every zone the strongest boundary is the cut, so cuts do not depend on each other and a giant
    symbol is cut by many workers.  With stride + zone + overlap <= max_bytes no piece is too long.
+6. A zone without a line start lies within one line.  It is cut where that line begins and where it
+   ends, if a piece can hold it.  Only a line that no piece can hold is cut inside, in the zone.
+   What a zone has to know for that lies within max_bytes of it (``zone_cuts``).
 
 Boundaries, strongest first: a blank line before a less indented line, a blank line, a line start
-(less indentation first), then a character boundary, where a zone holds no line start.
+(less indentation first); inside a line the last blank of the zone, then the last end of a token,
+then a character boundary.
 
 Defined results: only paths whose current state is present and has bytes; a module's text is its
 whole file; other symbols need a span whose SHA-256 is content_hash.  Repeated symbol rows count
@@ -28,6 +32,7 @@ no rows.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +51,8 @@ FILE = ["repo_id", "path"]
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: A word's last byte and another byte of it: where no token ends.
+_TOKEN_INSIDE = re.compile(rb"[0-9A-Za-z_\x80-\xff]{2}")
 _TABLE = "repo_id string, path string, range_no long, n_lines long, first_ink long, last_ink long, starts array<int>, ends_before array<int>, inks_after array<int>"
 
 
@@ -234,52 +241,105 @@ class Oversized:
         zones = zones.withColumn("zone_end", to).withColumn("zone_begin", to - F.col("zone")).filter("zone_end < span_end")
         zones = zones.withColumn("range_no", F.floor(F.col("zone_begin") / w))
         data = self.ranges.select(*FILE, "range_no", F.col("begin").alias("data_begin"), "data")
-        # one byte to the left tells whether a line starts at the zone's first byte
-        left = F.greatest(F.col("zone_begin") - F.col("overlap_bytes") - 1, F.lit(0))
-        view = F.substr("data", (left - F.col("data_begin") + 1).cast("int"), (F.col("zone_end") + 4 - left).cast("int"))
-        ready = zones.join(data, [*FILE, "range_no"]).select("symbol_id", "n", "zone_begin", "zone_end", "overlap_bytes", left.alias("left"), view.alias("view"))
-        cuts = ready.mapInPandas(_cut_zones, "symbol_id long, n long, cut long, resume long, boundary string")
-        order = W.partitionBy("symbol_id").orderBy("n")
-        ends = cuts.unionByName(spans.select("symbol_id", F.lit((1 << 62)).alias("n"), F.col("span_end").alias("cut"), F.col("span_end").alias("resume"), F.lit("end").alias("boundary")))
-        rows = ends.withColumn("from", F.lag("resume").over(order)).withColumn("piece", F.row_number().over(order))
+        # as far to the left as the last zone and an overlap before it, and to the right as a piece can reach
+        stride_begin = F.col("zone_end") - F.col("stride")
+        left = F.greatest(stride_begin - F.col("zone") - F.greatest("overlap_bytes", F.lit(1)), F.col("data_begin"))
+        view = F.substr("data", (left - F.col("data_begin") + 1).cast("int"), (F.least(F.col("zone_begin") + F.col("max_bytes") + 64, F.col("span_end")) - left).cast("int"))
+        columns = ["symbol_id", "span_begin", "span_end", stride_begin.alias("stride_begin"), "zone_begin", "zone_end", "max_bytes", "overlap_bytes", left.alias("left"), view.alias("view")]
+        cuts = zones.join(data, [*FILE, "range_no"]).select(columns).mapInPandas(_cut_zones, "symbol_id long, cut long, resume long, boundary string")
+        ends = cuts.unionByName(spans.select("symbol_id", F.col("span_end").alias("cut"), F.col("span_end").alias("resume"), F.lit("end").alias("boundary")))
+        # neighbouring zones may have found the same cut
+        order = W.partitionBy("symbol_id").orderBy("cut", "boundary")
+        rows = ends.withColumn("before", F.lag("cut").over(order)).filter("before IS NULL OR before < cut")
+        rows = rows.withColumn("from", F.lag("resume").over(order)).withColumn("piece", F.row_number().over(order))
         return rows.join(spans.select("symbol_id", "span_begin"), "symbol_id").select(
             "symbol_id", "piece", F.coalesce("from", "span_begin").alias("byte_start"), F.col("cut").alias("byte_end"), "boundary"
         )
 
 
-def best_cut(view: bytes, lo: int, hi: int) -> tuple[int, str]:
-    """The strongest boundary in ``view`` at positions [lo, hi], and its name."""
+def best_line(view: bytes, lo: int, hi: int) -> tuple[int, str] | None:
+    """The strongest line start in ``view`` at positions [lo, hi], and its name."""
     best = None
-    at = view.find(b"\n", max(0, lo - 1), hi)
+    at = view.find(b"\n", max(0, lo - 1), max(0, hi))
     while at >= 0:
         p = at + 1
-        if lo <= p <= hi:
-            end = view.find(b"\n", p)
-            line = view[p : end if end >= 0 else len(view)]
-            ink = line.lstrip(b" \t\r")
-            indent = len(line) - len(ink) if ink else 1 << 20
-            above = view[:at].rsplit(b"\n", 1)[-1]
-            blank = not above.strip() and at > 0
-            rank = (bool(ink) and blank, -indent, p)
-            if best is None or rank > best[0]:
-                best = (rank, p, "blank line" if rank[0] else "line")
+        end = view.find(b"\n", p)
+        line = view[p : end if end >= 0 else len(view)]
+        ink = line.lstrip(b" \t\r")
+        indent = len(line) - len(ink) if ink else 1 << 20
+        blank = not view[view.rfind(b"\n", 0, at) + 1 : at].strip() and at > 0
+        rank = (bool(ink) and blank, -indent, p)
+        if best is None or rank > best[0]:
+            best = (rank, p, "blank line" if rank[0] else "line")
         at = view.find(b"\n", p, hi)
-    if best:
-        return best[1], best[2]
+    return best and best[1:]
+
+
+def inner_cut(view: bytes, lo: int, hi: int) -> tuple[int, str]:
+    """The last blank, or else end of a token, or else of a character, in ``view`` at positions [lo, hi]."""
+    hi = min(hi, len(view))
+    token = 0
+    for p in range(hi, max(lo, 1) - 1, -1):
+        if view[p - 1] in b" \t\r\f\v":
+            return p, "blank"
+        if not token and view[p - 1] != 92 and not _TOKEN_INSIDE.match(view, p - 1):
+            token = p
+    if token:
+        return token, "token"
     p = hi
     while p > lo and p < len(view) and view[p] & 0xC0 == 0x80:
         p -= 1
     return p, "character"
 
 
+def best_cut(view: bytes, lo: int, hi: int) -> tuple[int, str]:
+    """The strongest boundary in ``view`` at positions [lo, hi], and its name."""
+    return best_line(view, lo, hi) or inner_cut(view, lo, hi)
+
+
+def zone_cuts(view: bytes, span: tuple[int, int], stride_begin: int, lo: int, hi: int, max_bytes: int, overlap: int) -> list[tuple[int, str]]:
+    """The cuts that the zone [lo, hi] is answerable for; all positions are in ``view``, ``span`` may lie outside.
+
+    A zone that holds a line start is cut at the strongest one.  Any other lies within one line.
+    Where that line begins in the zone's own stride, the piece ends there; the next one goes on to
+    a line start after the zone, if it can reach one.  Where it begins before the stride, the cut of
+    the last zone is the start that counts.
+    """
+    best = best_line(view, lo, hi)
+    if best:
+        return [best]
+    reach = max_bytes - overlap
+    first = stride_begin <= span[0]
+    begin = view.rfind(b"\n", max(0, stride_begin), lo) + 1  # where the line begins, 0 for before the stride
+    if begin and begin - overlap > span[0]:
+        starts = [(begin, begin + reach)]
+        out = [best_line(view, begin, begin)]
+    elif first:
+        starts, out = [(None, span[0] + max_bytes)], []
+    else:
+        last_lo = stride_begin - (hi - lo)
+        a, z = view.find(b"\n", max(0, last_lo - 1), stride_begin) + 1, view.rfind(b"\n", max(0, last_lo - 1), stride_begin) + 1
+        # the last zone's own cut is no earlier than its first line start; its last one may be cut besides
+        starts = [(None, a + reach), (z, z + reach)] if a else [(None, inner_cut(view, last_lo, stride_begin)[0] + reach)]
+        out = []
+    for extra, far in starts:
+        more = [best_line(view, extra, extra)] if extra and not out else []
+        if span[1] <= far:
+            return out + more
+        ahead = best_line(view, hi + 1, min(far, len(view), span[1] - 1))
+        if ahead:
+            return out + more + [ahead]
+    return out + [inner_cut(view, lo, hi)]
+
+
 def _cut_zones(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
-        for sid, n, zb, ze, overlap, left, view in zip(b["symbol_id"], b["n"], b["zone_begin"], b["zone_end"], b["overlap_bytes"], b["left"], b["view"]):
-            p, name = best_cut(view, zb - left, ze - left)
-            back = max(0, p - overlap)
-            while back < p and view[back] & 0xC0 == 0x80:
-                back += 1
-            rows.append((sid, n, left + p, left + back, name))
+        for sid, begin, end, sb, zb, ze, most, overlap, left, view in b.itertuples(index=False, name=None):
+            for p, name in zone_cuts(view, (begin - left, end - left), sb - left, zb - left, ze - left, most, overlap):
+                back = max(0, begin - left, p - overlap)
+                while back < p and view[back] & 0xC0 == 0x80:
+                    back += 1
+                rows.append((sid, left + p, left + back, name))
         if rows:
-            yield pd.DataFrame(rows, columns=["symbol_id", "n", "cut", "resume", "boundary"])
+            yield pd.DataFrame(rows, columns=["symbol_id", "cut", "resume", "boundary"])
