@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from tessella.operators.stats import nearest_rank
 
+RESAMPLES = 2000
+
 
 def draws(spark, resamples: int, n: int, seed: int) -> DataFrame:
     """(b, i, pick) for every resample and position."""
@@ -23,17 +25,22 @@ def cluster_means(values: DataFrame, resamples: int, seed: int = 20) -> DataFram
     """(b, value): the mean over each resample of clusters of (cluster, value).
 
     Clusters are drawn whole; with one cluster per row this is the plain bootstrap.  Only sums and
-    counts per cluster take part, numbered in order of their name.
+    counts per cluster take part, numbered in order of their name.  A single cluster would be the
+    same in every resample, so its values are drawn one by one, numbered in order of their size.
     """
     from pyspark.sql import Window as W
 
     c = values.groupBy("cluster").agg(F.sum("value").alias("s"), F.count("value").alias("m"))
     n = c.count()
-    numbered = c.withColumn("pick", (F.row_number().over(W.orderBy("cluster")) - 1).cast("long"))
+    key = "cluster"
+    if n == 1:
+        c, key = values.filter("value IS NOT NULL").select(F.col("value").alias("s"), F.lit(1).alias("m")), "s"
+        n = c.count()
+    numbered = c.withColumn("pick", (F.row_number().over(W.orderBy(key)) - 1).cast("long"))
     picked = draws(values.sparkSession, resamples, n, seed).join(numbered, "pick")
     return picked.groupBy("b").agg((F.sum("s") / F.sum("m")).alias("value"))
 
 
-def interval(values: DataFrame, resamples: int = 200, alpha: float = 0.05, seed: int = 20) -> DataFrame:
+def interval(values: DataFrame, resamples: int = RESAMPLES, alpha: float = 0.05, seed: int = 20) -> DataFrame:
     """(p, value): the percentile interval's bounds at alpha/2 and 1 - alpha/2."""
     return nearest_rank(cluster_means(values, resamples, seed).select(F.round("value", 9).alias("value")), [alpha / 2, 1 - alpha / 2])

@@ -77,16 +77,34 @@ def _boot(values: str) -> str:
  select p, value from o, (values (0.025::double), (0.975::double)) t(p) where i = least(k - 1, floor(p * k))"""
 
 
+def _ndcg_by_label(spark, d):
+    return retrieval_queries.m1_m4_ranking_metrics(spark, d).select(F.col("label").alias("cluster"), F.col("ndcg").alias("value"))
+
+
+def _deltas(spark, d):
+    return retrieval_queries.m1_m4_ranking_metrics(spark, d).select(F.col("query_id").alias("cluster"), (F.col("ndcg") - F.col("recall")).alias("value"))
+
+
 @query(_boot("select label as cluster, ndcg as value from (" + retrieval_queries._sql_metrics() + ")"))
 def m7_m8_cluster_bootstrap(spark, d):
-    per = retrieval_queries.m1_m4_ranking_metrics(spark, d)
-    return bootstrap.interval(per.select(F.col("label").alias("cluster"), F.col("ndcg").alias("value")))
+    """The SQL's 200 resamples; m7_m8_cluster_bootstrap_2000 is the whole job."""
+    return bootstrap.interval(_ndcg_by_label(spark, d), resamples=200)
+
+
+@query()
+def m7_m8_cluster_bootstrap_2000(spark, d):
+    return bootstrap.interval(_ndcg_by_label(spark, d))
 
 
 @query(_boot("select query_id as cluster, ndcg - recall as value from (" + retrieval_queries._sql_metrics() + ")"))
 def m9_paired_delta(spark, d):
-    per = retrieval_queries.m1_m4_ranking_metrics(spark, d)
-    return bootstrap.interval(per.select(F.col("query_id").alias("cluster"), (F.col("ndcg") - F.col("recall")).alias("value")))
+    """The SQL's 200 resamples; m9_paired_delta_2000 is the whole job."""
+    return bootstrap.interval(_deltas(spark, d), resamples=200)
+
+
+@query()
+def m9_paired_delta_2000(spark, d):
+    return bootstrap.interval(_deltas(spark, d))
 
 
 @query("select date_trunc('day', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by all")
