@@ -1,4 +1,4 @@
-"""Turning the prose of changes into labelled queries: units, blinding, filters with one reject reason."""
+"""Turning the prose of changes into labelled queries: blinding, overlap, filters with one reject reason."""
 
 from __future__ import annotations
 
