@@ -56,10 +56,9 @@ def p6_ids(spark, d):
 
 @query
 def p7_found(spark, d):
-    from tessella.llm.mixing import source_tokens, target_totals
+    from tessella.llm.mixing import FairQueue
 
-    docs, targets = table(spark, d, "documents"), table(spark, d, "mix_targets")
-    return target_totals(source_tokens(docs, targets), targets).filter("short").select("source")
+    return FairQueue(table(spark, d, "documents"), table(spark, d, "mix_targets")).short_sources()
 
 
 @query

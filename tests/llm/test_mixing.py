@@ -40,3 +40,49 @@ def test_empty(rows):
     assert source_tokens(rows(D), t).count() == 0
     assert [r.short for r in target_totals(source_tokens(rows(D), t), t).collect()] == [False]
     assert fair_mix(rows(D), t)[0].count() == 0
+
+
+def brute(counted, targets, budget, seed_order):
+    """The mix by sorting every copy on one list."""
+    copies = []
+    for source, (w, most) in targets.items():
+        docs = [d for d in seed_order if d[1] == source]
+        total, upto = sum(d[2] for d in docs), 0
+        for c in range(most):
+            for d, _, n in docs:
+                upto += n
+                copies.append((upto / w, source, d, c, n))
+    out, left = [], budget
+    for f, s, d, c, n in sorted(copies):
+        if n > left:
+            break
+        left -= n
+        out.append((d, s, c))
+    return out
+
+
+@pytest.mark.parametrize("weights, budget, rows_per_bucket", [((0.5, 0.5 - 1e-5, 1e-5), None, 20_000), ((0.2, 0.3, 0.5), 500, 8), ((0.6, 0.2, 0.2), 10_000_000, 8), ((0.1, 0.1, 0.8), 900, 4)])
+def test_mix_equals_one_sorted_list(rows, monkeypatch, weights, budget, rows_per_bucket):
+    from pyspark.sql import functions as F
+
+    from tessella.llm import mixing
+
+    monkeypatch.setattr(mixing, "ROWS_PER_BUCKET", rows_per_bucket)
+    docs = rows(D, *((i, "abc"[i % 7 % 3], "tok " * (1 + i * i % 23), 1.0) for i in range(300)))
+    t = dict(zip("abc", zip(weights, (2, 3, 2))))
+    targets = rows(T, *((s, w, n) for s, (w, n) in t.items()))
+    q = mixing.FairQueue(docs, targets, budget)
+    ordered = [tuple(r) for r in q.counted.select("doc_id", "source", "n_tokens", F.expr("xxhash64(20, doc_id)").alias("k")).orderBy(F.lpad(F.hex("k"), 16, "0"), "doc_id").select("doc_id", "source", "n_tokens").collect()]
+    want = brute(None, t, q.budget, ordered)
+    assert [(r.doc_id, r.source, r.copy) for r in q.mix().collect()] == want
+
+
+def test_short_sources_come_from_the_queue(rows, monkeypatch):
+    from tessella.llm import mixing
+
+    docs = rows(D, *((i, "big" if i else "small", "word " * 20, 1.0) for i in range(60)))
+    targets = rows(T, ("big", 0.6, 2), ("small", 0.4, 3), ("none", 0.1, 2), ("off", 0.0, 2))
+    q = mixing.FairQueue(docs, targets)
+    assert {r.source for r in q.short_sources().collect()} == {"small", "none"}
+    monkeypatch.setattr(mixing.FairQueue, "copies", lambda self, upto: self.scratch.spark.createDataFrame([("big", 0.0)] * 1000, "source string, finish double"))
+    assert {r.source for r in q.short_sources().collect()} == {"none"}
