@@ -6,23 +6,59 @@ and repeated rows count once where an operator speaks of files or symbols.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tessella.functions.text import is_test_path, path_escapes
+from tessella.plans.scratch import Scratch
 
 MAX_CHUNK_CHARS = 24_000
 TRUNCATED = "\n# ... [truncated: symbol exceeds MAX_CHUNK_CHARS]"
 
 
-def current_states(snapshots: DataFrame) -> DataFrame:
-    """One row per path: the state with the largest mtime_ns."""
-    newest = W.partitionBy("repo_id", "path").orderBy(F.col("mtime_ns").desc_nulls_last(), "state", F.col("size_bytes").desc_nulls_last())
-    return snapshots.withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n")
+def _picked(snapshots: DataFrame, order: list) -> DataFrame:
+    """The first row of every (repo_id, path) by ``order``; rows without a path are left out.
+
+    Contents are not shuffled: where the table comes from files, only keys and the places of rows
+    (file, row number) are grouped, and only paths with several rows come out of that, which a
+    history table has few of.  The scan of the contents then drops the rows that lost; it is a
+    broadcast join as long as Spark finds that list small, and a shuffle of the table beyond.
+    Tables that do not come from files are ordered by a window.
+    """
+    rows = snapshots.filter(F.col("path").isNotNull())
+    try:
+        located = rows.select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias("_at"))
+    except AnalysisException:
+        by_window = W.partitionBy("repo_id", "path").orderBy(*order)
+        return rows.withColumn("_n", F.row_number().over(by_window)).filter("_n = 1").drop("_n")
+    keys = located.select("repo_id", "path", F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)), F.col("_at").alias("at")).alias("o"))
+    won = keys.groupBy("repo_id", "path").agg(F.min("o").alias("o"), F.count("*").alias("n")).filter("n > 1")
+    won = Scratch(snapshots.sparkSession).cut(won.select(F.col("repo_id").alias("_r"), F.col("path").alias("_p"), F.col("o.at").alias("_won")))
+    joined = located.join(won, F.col("repo_id").eqNullSafe(F.col("_r")) & (F.col("path") == F.col("_p")), "left")
+    out = joined.filter(F.col("_won").isNull() | (F.col("_won") == F.col("_at"))).select(*snapshots.columns)
+    cores = snapshots.sparkSession.sparkContext.defaultParallelism
+    # a small table may be one split; what is done with contents is worth more tasks
+    return out.repartition(cores) if "bytes" in snapshots.columns and snapshots.rdd.getNumPartitions() < cores else out
+
+
+def _last(c) -> list:
+    """A number in falling order, nulls last, for use in rising structs."""
+    return [F.col(c).isNull(), -F.col(c)]
+
+
+def current_states(snapshots: DataFrame, present_first: bool = False) -> DataFrame:
+    """One row per path: the state with the largest mtime_ns.
+
+    Of equal times the first by name of the state wins ('absent' before 'present'), or with
+    ``present_first`` the present one; then the largest size_bytes, if there is that column.
+    """
+    tie = [F.coalesce(F.col("state") != "present", F.lit(True))] if present_first else [F.col("state")]
+    size = _last("size_bytes") if "size_bytes" in snapshots.columns else []
+    return _picked(snapshots, [*_last("mtime_ns"), *tie, *size])
 
 
 def first_states(snapshots: DataFrame) -> DataFrame:
-    oldest = W.partitionBy("repo_id", "path").orderBy(F.col("mtime_ns").asc_nulls_last(), "state", F.col("size_bytes").desc_nulls_last())
-    return snapshots.withColumn("_n", F.row_number().over(oldest)).filter("_n = 1").drop("_n")
+    return _picked(snapshots, [F.col("mtime_ns").isNull(), F.col("mtime_ns"), F.col("state"), *_last("size_bytes")])
 
 
 def first_definitions(symbols: DataFrame) -> DataFrame:

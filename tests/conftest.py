@@ -26,3 +26,9 @@ def spark(tmp_path_factory):
     ship(s)
     yield s
     s.stop()
+
+
+@pytest.fixture(scope="session")
+def rows(spark):
+    """rows(schema, *tuples): a small DataFrame."""
+    return lambda schema, *data: spark.createDataFrame(list(data), schema)

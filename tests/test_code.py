@@ -115,3 +115,21 @@ def test_git_listing(tmp_path):
     (tmp_path / "a.py").write_text("x = 1\n")
     subprocess.run(["git", "-C", str(tmp_path), "add", "a.py"], check=True)
     assert tracked_files(str(tmp_path)) == ["a.py"]
+
+
+def test_states_of_files_and_of_frames_are_picked_alike(spark, rows, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tessella.operators import code
+
+    schema = "repo_id string, path string, state string, bytes binary, mtime_ns long, size_bytes long, _at string"
+    data = [("r", f"p{i % 40}", ("present", "absent", "unreadable")[i * 7 % 3], b"%d" % (i % 9), (None, i * 13 % 5)[i % 4 > 0], i % 9, "x") for i in range(300)]
+    data += [("r", "only", "present", b"1", 1, 1, "x"), (None, "only", "present", b"2", None, None, "x"), ("r", None, "present", b"3", 1, 1, "x")] * 2
+    frame = rows(schema, *data)
+    frame.repartition(3).write.parquet(str(tmp_path / "s"))
+    key = ["repo_id", "path", "state", "mtime_ns", "size_bytes"]
+    for pick in (code.current_states, lambda s: code.current_states(s, True), code.first_states):
+        a, b = (sorted(map(repr, pick(s).select(*key, "bytes").collect())) for s in (frame, spark.read.parquet(str(tmp_path / "s"))))
+        assert a == b and len(a) == 42
+    assert pick(spark.read.parquet(str(tmp_path / "s")).filter("false")).count() == 0
+    assert code.current_states(spark.read.parquet(str(tmp_path / "s")).select("path", "repo_id", "state", "mtime_ns", F.lit(1).alias("n"))).count() == 42
