@@ -9,11 +9,11 @@ The machine recovers where a file does not parse: an unclosed string ends with i
 unclosed triple quote is skipped, a ``def`` or ``class`` at the start of a line ends unclosed
 brackets, and merge-conflict markers are passed over.
 
-Files are independent, so this is one narrow stage after the current state of each path has been
-picked; the picking moves keys only where the writer of the table left one state per path.
+Files are independent, so this is one narrow stage over the scan: picking the current state of each
+path groups keys and places of rows only (``operators.code``).
 
 Defined results: only paths whose state with the largest mtime_ns is 'present' and has bytes count
-(of equal times, 'present' wins, then the larger bytes); repeated rows count once.  Bytes that are
+(of equal times, 'present' wins, then the larger size_bytes); repeated rows count once.  Bytes that are
 no UTF-8 are read with replacement marks, a byte-order mark is dropped, CR and CRLF end lines as LF
 does.  Empty files and files without definitions give no rows.
 """
@@ -26,7 +26,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from tessella.operators.code import current_states
 
 _STOP = re.compile(r"""["'#()\[\]{}\n]|\\\n""")
 _HEAD = re.compile(r"(?:async[ \t\\\n]+)?def[ \t\\\n]+([^\W\d]\w*)|class[ \t\\\n]+([^\W\d]\w*)|@")
@@ -349,12 +351,8 @@ def module_of(path: str) -> str:
 
 def current_files(snapshots: DataFrame) -> DataFrame:
     """(repo_id, path, bytes) of the paths that are present now, one row each."""
-    newest = W.partitionBy("repo_id", "path").orderBy(
-        F.col("mtime_ns").desc_nulls_last(), (F.col("state") == "present").desc_nulls_last(), F.col("bytes").desc_nulls_last()
-    )
-    rows = snapshots.select("repo_id", "path", "state", "mtime_ns", "bytes").filter(F.col("path").isNotNull())
-    top = rows.withColumn("n", F.row_number().over(newest)).filter("n = 1")
-    return top.filter((F.col("state") == "present") & F.col("bytes").isNotNull()).select("repo_id", "path", "bytes")
+    now = current_states(snapshots, present_first=True)
+    return now.filter((F.col("state") == "present") & F.col("bytes").isNotNull()).select("repo_id", "path", "bytes")
 
 
 PAIR_SCHEMA = "repo_id string, path string, qualname string, def_line int, signature string, summary string, doc string, code string"
