@@ -27,15 +27,15 @@ def _picked(snapshots: DataFrame, order: list) -> DataFrame:
     """
     rows = snapshots.filter(F.col("path").isNotNull())
     try:
-        located = rows.select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias("_at"))
+        located = rows.select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias("__row_place"))
     except AnalysisException:
         by_window = W.partitionBy("repo_id", "path").orderBy(*order)
-        return rows.withColumn("_n", F.row_number().over(by_window)).filter("_n = 1").drop("_n")
-    keys = located.select("repo_id", "path", F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)), F.col("_at").alias("at")).alias("o"))
+        return rows.withColumn("__row_no", F.row_number().over(by_window)).filter("__row_no = 1").drop("__row_no")
+    keys = located.select("repo_id", "path", F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)), F.col("__row_place").alias("at")).alias("o"))
     won = keys.groupBy("repo_id", "path").agg(F.min("o").alias("o"), F.count("*").alias("n")).filter("n > 1")
-    won = Scratch(snapshots.sparkSession).cut(won.select(F.col("repo_id").alias("_r"), F.col("path").alias("_p"), F.col("o.at").alias("_won")))
-    joined = located.join(won, F.col("repo_id").eqNullSafe(F.col("_r")) & (F.col("path") == F.col("_p")), "left")
-    out = joined.filter(F.col("_won").isNull() | (F.col("_won") == F.col("_at"))).select(*snapshots.columns)
+    won = Scratch(snapshots.sparkSession).cut(won.select(F.col("repo_id").alias("__won_repo"), F.col("path").alias("__won_path"), F.col("o.at").alias("__won_place")))
+    joined = located.join(won, F.col("repo_id").eqNullSafe(F.col("__won_repo")) & (F.col("path") == F.col("__won_path")), "left")
+    out = joined.filter(F.col("__won_place").isNull() | (F.col("__won_place") == F.col("__row_place"))).select(*snapshots.columns)
     cores = snapshots.sparkSession.sparkContext.defaultParallelism
     # a small table may be one split; what is done with contents is worth more tasks
     return out.repartition(cores) if "bytes" in snapshots.columns and snapshots.rdd.getNumPartitions() < cores else out
