@@ -97,7 +97,8 @@ def _oversized(spark, d):
 
 @query
 def p5_found(spark, d):
-    return _oversized(spark, d).spans().select("symbol_id")
+    """Symbols that are cut into more than one piece."""
+    return _oversized(spark, d).pieces().filter("piece = 2").select("symbol_id")
 
 
 @query

@@ -74,3 +74,21 @@ def test_best_cut():
 def test_empty(rows):
     o = Oversized(rows(SYM), rows(SNAP), rows(LIM))
     assert o.spans().count() == 0 and o.pieces().count() == 0
+
+
+def test_ranges_and_segments_leave_no_trace(rows, monkeypatch):
+    """Pieces come from the boundary tables, whatever the ranges; segments only move cuts at their edges."""
+    from tessella.llm import pieces
+
+    rnd = random.Random(11)
+    data = b"".join(b" " * rnd.choice([0, 4, 8]) + b"word " * rnd.randint(0, 14) + rnd.choice([b"\n", b"\n\n"]) for _ in range(700))
+    tables = rows(SYM, ("r", 1, "a.py", "module", None, None, None, None, h(data), 0)), rows(SNAP, ("r", "a.py", "present", 1, data, 0)), rows(LIM, ("module", 400, 50))
+    cut = lambda width: sorted((r.piece, r.byte_start, r.byte_end, r.boundary) for r in Oversized(*tables, width).pieces().collect())
+    whole = cut(1 << 16)
+    assert whole == cut(97) == cut(1000) and len(whole) < len(data) / (400 - 50) * 1.35
+    assert {x[3] for x in whole} <= {"line", "blank line", "end"}
+    monkeypatch.setattr(pieces, "SEGMENT", 4)
+    parted = cut(1 << 16)
+    assert parted == cut(130)
+    assert all(z - a <= 400 for _, a, z, _ in parted) and parted[-1][2] == len(data)
+    assert all(q[1] == p[2] - 50 and data[p[2] - 1 : p[2]] == b"\n" for p, q in zip(parted, parted[1:]))
