@@ -1,7 +1,5 @@
 """Texts that a field limit or a broken transfer cut short.
 
-Three kinds of evidence are combined per text as log odds:
-
 * **Length.**  Lengths of a source (in characters and in bytes) that occur far more often than
   their neighbours are candidate limits.  Per source a log-normal length distribution is fitted by
   maximum likelihood with the values at candidate limits as right-censored (EM over sufficient
@@ -11,10 +9,19 @@ Three kinds of evidence are combined per text as log odds:
   JSON ...), whether it is closed (sentence end, balanced marks), whether it ends in a cut mark or
   half a character.  The *habits of the source* say which ends are natural without a sentence end:
   frames of last lines that complete inner lines, or a fair share of the source's texts, have too.
+  A text that ends with its sentence, or closes its JSON, fence or table, is whole by definition.
 * **Last word.**  Words are counted over the whole corpus, inside lines and at their ends.  A last
   word never seen elsewhere was cut itself; a common word that never ends a line, sentence or
   unsuspected text was followed by more.
 
+What a kind of ending is worth is learned: the censoring posteriors are the labels.  A mixture of
+truncated and whole texts is fitted by EM, in which a text at a candidate limit is truncated with its
+censoring posterior beforehand, any other with one common chance, and the kinds of evidence are
+independent given that.  A kind that no
+limit shows is worth what its group (open, broken word, habit, no habit) is worth, and a group that no
+limit shows the weak log odds of ``START``.
+A text's score is the log odds of its own length's posterior and of its evidence.
+
 One pass in Python writes features, word counts and frame counts (pre-counted per batch); all else
 is joins and sums over small rows.  Look-ups of hot words and frames are salted.
 
@@ -30,6 +37,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -39,11 +47,15 @@ from tessella.plans.scratch import Scratch
 
 #: Salts of a look-up: a hot word or frame is spread over so many tasks.
 SALTS = 8
-#: Parameters of candidate limits: least count, and least ratio to the mean count of lengths nearby.
-LEAST_AT_LIMIT, LEAST_RATIO, NEARBY = 5, 6.0, 25
-#: Log odds of the kinds of evidence.
-BASE, AT_MOST = 0.03, 0.99
-HABIT, NO_HABIT, BROKEN_WORD, RARE_WORD, WEAK_WORD, KNOWN_WORD, LONGER_ONCE, LINE_ENDED = -4.3, 4.5, 9.0, 3.0, 1.5, -0.5, 3.0, -5.0
+#: Parameters of candidate limits: least count, and least ratio to the mean count of lengths nearby (within this factor, as a logarithm).
+LEAST_AT_LIMIT, LEAST_RATIO, NEARBY = 8, 6.0, 0.2
+#: The chance of a cut away from limits, beforehand, and the texts that counts for.
+BASE, BASE_TEXTS = 0.05, 100.0
+#: Bounds of a censoring posterior at a limit.
+AT_LEAST, AT_MOST = 0.001, 0.999
+#: Log odds of the kinds of evidence before anything is learned, and how many truncated texts at limits weigh as much.
+START = {"open": 4.0, "broken": 4.0, "habit": -2.0, "no habit": 1.0, "rare": 1.0, "weak": 0.5, "known": -0.5, "usual": -1.0, "ended": -4.0, "goes on": 0.0, "longer": 2.0, "as long": 0.0}
+START_TEXTS = 10.0
 #: A frame is a habit if this many inner lines, and this share of a source's inner lines, have it, or this share of a source's texts end with it.
 INNER_LINES, INNER_SHARE, END_SHARE, PROSE_SHARE = 3, 0.002, 0.01, 0.5
 #: A word closes texts of a frame as a habit if so large a share of them ends with it.
@@ -278,9 +290,10 @@ def length_limits(docs: DataFrame) -> DataFrame:
     texts = docs.select("source", "chars", "bytes", "digest").distinct()  # copies of a text are no pile-up
     units = texts.select("source", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("length")))).alias("u"))
     counts = units.select(F.coalesce("source", F.lit("\0")).alias("source"), "u.unit", "u.length").filter("length > 0").groupBy("source", "unit", "length").count()
-    near = W.partitionBy("source", "unit").orderBy("length").rangeBetween(-NEARBY, NEARBY)
-    around = (F.sum("count").over(near) - F.col("count")) / (2.0 * NEARBY)
-    marked = counts.withColumn("limit", (F.col("count") >= LEAST_AT_LIMIT) & (F.col("count") >= LEAST_RATIO * around) & (F.col("length") > 30))
+    near = W.partitionBy("source", "unit").orderBy(F.round(F.log(F.col("length").cast("double")) * 10_000).cast("long")).rangeBetween(-round(NEARBY * 10_000), round(NEARBY * 10_000))
+    lengths = F.floor(F.col("length") * math.exp(NEARBY)) - F.ceil(F.col("length") * math.exp(-NEARBY))  # that many others
+    around = F.try_divide(F.sum("count").over(near) - F.col("count"), lengths)
+    marked = counts.withColumn("limit", (F.col("count") >= LEAST_AT_LIMIT) & (F.col("count") >= LEAST_RATIO * F.coalesce(around, F.col("count"))))
     natural = ~F.col("limit")
     x = F.log(F.col("length").cast("double"))
     moments = marked.groupBy("source", "unit").agg(
@@ -292,6 +305,76 @@ def length_limits(docs: DataFrame) -> DataFrame:
     return tops.groupBy("source", "unit").applyInPandas(_fit, "source string, unit string, length long, count long, posterior double, mu double, sigma double")
 
 
+FACTORS = ("kind", "word", "line", "told")
+
+
+def kind_of_open(shape) -> F.Column:
+    return F.concat(F.lit("open: "), shape)
+
+
+class EvidenceModel:
+    """Log odds of each value of each kind of evidence, and the common chance of a cut away from limits."""
+
+    def __init__(self, base: float, odds: dict[str, dict[str, float]], rounds: int):
+        self.base, self.odds, self.rounds = base, odds, rounds
+
+    def column(self, factor: str) -> F.Column:
+        out = F.lit(0.0)  # a value never seen, or none, says nothing
+        for value, x in sorted(self.odds[factor].items()):
+            out = F.when(F.col(factor) == value, float(x)).otherwise(out)
+        return out
+
+
+def taught(t: np.ndarray, w: np.ndarray, shown: np.ndarray, otherwise: np.ndarray) -> np.ndarray:
+    """Log odds from counts of truncated and whole texts, as far as limits have shown truncated ones (``shown``)."""
+    trust = shown / (shown + START_TEXTS)
+    t, w = t + 0.5, w + 0.5
+    return trust * (np.log(t / t.sum()) - np.log(w / w.sum())) + (1 - trust) * otherwise
+
+
+def fitted_evidence(cells: pd.DataFrame, rounds: int = 500, tolerance: float = 1e-7) -> EvidenceModel:
+    """EM over counted cells: kind, word, line, told (null for none), p (null away from limits), n."""
+    n = cells["n"].to_numpy(float)
+    p = cells["p"].to_numpy(float)
+    at_limit = ~np.isnan(p)
+    codes = {f: pd.factorize(cells[f]) for f in FACTORS}  # -1 for none
+    group = {f: pd.factorize(np.array([v.split(":")[0] for v in values], object)) for f, (_, values) in codes.items()}
+    start = {f: np.array([START[g] for g in names]) for f, (_, names) in group.items()}
+    odds0 = {f: start[f][group[f][0]] for f in FACTORS}
+    base, odds, done = BASE, odds0, 0
+    for done in range(1, rounds + 1):
+        chance = np.where(at_limit, p, base)
+        z = np.log(chance / (1 - chance))
+        for f, (code, _) in codes.items():
+            if len(odds[f]):
+                z = z + np.where(code >= 0, odds[f][code], 0.0)
+        r = 1 / (1 + np.exp(-z))
+        new_base = (BASE * BASE_TEXTS + (n * r)[~at_limit].sum()) / (BASE_TEXTS + n[~at_limit].sum())
+        moved = abs(new_base - base)
+        base = new_base
+        for f, (code, values) in codes.items():
+            some = code >= 0
+            sums = [np.bincount(code[some], x[some], len(values)) for x in (n * r, n * (1 - r), n * r * at_limit)]
+            member, names = group[f]
+            whole = [np.bincount(member, x, len(names)) for x in sums]  # per group of values
+            new = taught(*sums, taught(*whole, start[f])[member])
+            moved = max([moved, *np.abs(new - odds[f])])
+            odds[f] = new
+        if moved < tolerance:
+            break
+    return EvidenceModel(float(base), {f: dict(zip(codes[f][1], odds[f])) for f in FACTORS}, done)
+
+
+def learned(evidence: DataFrame) -> EvidenceModel:
+    """The model of all texts; only counts per kind of evidence and rounded posterior reach the driver.
+
+    Their number is bounded by the kinds (some hundreds) times a hundred posteriors.
+    """
+    cells = evidence.groupBy(*FACTORS, F.round("p", 2).alias("p")).agg(F.count("*").alias("n")).toPandas()
+    cells["p"] = cells["p"].astype(float).clip(AT_LEAST, AT_MOST)
+    return fitted_evidence(cells.sort_values([*FACTORS, "p"], ignore_index=True))
+
+
 def truncation_scores(docs: DataFrame, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
     """(scores, limits).  scores: doc_id, source, chars, verdict, score; a text is truncated if score > 0."""
     scratch = scratch or Scratch(docs.sparkSession)
@@ -309,19 +392,20 @@ def truncation_scores(docs: DataFrame, scratch: Scratch | None = None) -> tuple[
     chars = at.filter("unit = 'chars'").select("source", F.col("length").alias("chars"), F.col("posterior").alias("p_chars"))
     reach = F.explode(F.sequence(F.col("length") - 3, F.col("length"))).alias("bytes")  # a byte limit may fall inside a character
     octets = at.filter("unit = 'bytes'").select("source", reach, "posterior").groupBy("source", "bytes").agg(F.max("posterior").alias("p_bytes"))
-    p_bytes = F.when(F.col("bytes") != F.col("chars"), F.coalesce("p_bytes", F.lit(0.0))).otherwise(0.0)
+    p_bytes = F.when(F.col("bytes") != F.col("chars"), F.col("p_bytes"))
     ends = scratch.cut(
         ends.withColumn("shown", F.col("source"))
         .withColumn("source", key)
         .withColumn("salt", salt)
         .join(chars.select("*", salts), ["source", "chars", "salt"], "left")
         .join(octets.select("*", salts), ["source", "bytes", "salt"], "left")
-        .withColumn("p", F.least(F.lit(AT_MOST), F.greatest(F.lit(BASE), F.coalesce("p_chars", F.lit(0.0)), p_bytes)))
+        .withColumn("p", F.greatest("p_chars", p_bytes))  # null away from limits
+        .withColumn("p", F.when(F.col("p").isNotNull(), F.least(F.lit(AT_MOST), F.greatest(F.lit(AT_LEAST), F.col("p")))))
         .drop("p_chars", "p_bytes")
     )
 
     # habits: frames that inner lines have, or a share of the source's distinct texts end with
-    unsuspected = (F.col("verdict") != OPEN) & (F.col("p") < 0.5) & ~F.coalesce(F.col("n_chars") - F.col("chars") > 8, F.lit(False))
+    unsuspected = (F.col("verdict") != OPEN) & ~F.coalesce(F.col("p") >= 0.5, F.lit(False)) & ~F.coalesce(F.col("n_chars") - F.col("chars") > 8, F.lit(False))
     once = ends.select("source", "frame", "digest", "verdict", unsuspected.alias("clean")).distinct()
     tail = once.groupBy("source", "frame").agg(F.count(F.when(F.col("clean") & (F.col("verdict") == UNSURE), 1)).alias("n_end"), F.count("*").alias("n_any"))
     inner = seen.filter(F.col("kind") == FRAME).select(key.alias("source"), "frame", F.col("a").alias("n_inner"))
@@ -358,16 +442,23 @@ def truncation_scores(docs: DataFrame, scratch: Scratch | None = None) -> tuple[
     open_word = F.col("usual").isNull() & (F.coalesce(F.col("seen") < 2, F.lit(True)) | never_final)
     weak_word = F.col("usual").isNull() & (final < 0.02 * F.col("seen"))
     rare_word = F.col("usual").isNull() & (F.col("seen") < 20) & (final <= 1)
-    score = (
-        F.log(F.col("p") / (1 - F.col("p")))
-        + F.when(F.col("habit"), HABIT).otherwise(NO_HABIT)
-        + F.when(F.col("word").isNull() | (F.col("habit") & F.startswith("frame", F.lit("bare|"))), 0.0).when(open_word, BROKEN_WORD).when(rare_word, RARE_WORD).when(weak_word, WEAK_WORD).otherwise(KNOWN_WORD)
-        + F.when(F.col("n_chars") - F.col("chars") > 2, LONGER_ONCE).otherwise(0.0)
-        + F.when(F.col("line_ended"), LINE_ENDED).otherwise(0.0)
-    )
-    unsure = looked.select("doc_id", F.col("shown").alias("source"), F.col("chars"), "frame", score.alias("score"))
-    sure = ends.filter(F.col("verdict") != UNSURE).select("doc_id", F.col("shown").alias("source"), "chars", "frame", F.when(F.col("verdict") == OPEN, 20.0).otherwise(-20.0).alias("score"))
-    return sure.unionByName(unsure), limits
+    # a frame's habit is about ends with whole words
+    free = F.col("word").isNotNull() & ~(F.col("habit") & F.startswith("frame", F.lit("bare|")))
+    broken = F.coalesce(free & open_word, F.lit(False))
+    word = F.when(broken | ~F.coalesce(free, F.lit(False)), F.lit(None).cast("string")).when(rare_word, "rare").when(weak_word, "weak").when(F.col("usual"), "usual").otherwise("known")
+    shape = F.split("frame", r"\|")[0]
+    kind = F.concat_ws(": ", F.when(broken, "broken").when(F.col("habit"), "habit").otherwise("no habit"), shape)
+    unsure = looked.select("doc_id", "shown", "chars", "n_chars", "line_ended", "p", "frame", kind.alias("kind"), word.alias("word"))
+    opened = ends.filter(F.col("verdict") == OPEN).select("doc_id", "shown", "chars", "n_chars", "line_ended", "p", "frame", kind_of_open(shape).alias("kind"), F.lit(None).cast("string").alias("word"))
+    evidence = unsure.unionByName(opened).withColumn("line", F.when(F.startswith("kind", F.lit("open")), F.lit(None).cast("string")).when(F.col("line_ended"), "ended").otherwise("goes on"))
+    evidence = scratch.cut(evidence.withColumn("told", F.when(F.col("n_chars") - F.col("chars") > 2, "longer").otherwise("as long")).drop("n_chars", "line_ended"))
+    model = learned(evidence)
+    score = F.log(F.coalesce("p", F.lit(model.base)) / (1 - F.coalesce("p", F.lit(model.base))))
+    for factor in FACTORS:
+        score = score + model.column(factor)
+    scored = evidence.select("doc_id", F.col("shown").alias("source"), "chars", "frame", score.alias("score"))
+    whole = ends.filter(F.col("verdict") == WHOLE).select("doc_id", F.col("shown").alias("source"), "chars", "frame", F.lit(-20.0).alias("score"))
+    return whole.unionByName(scored), limits
 
 
 def truncated(docs: DataFrame) -> DataFrame:

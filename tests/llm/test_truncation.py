@@ -44,3 +44,51 @@ def test_planted_cuts(rows):
 
 def test_empty(rows):
     assert truncated(rows(D)).count() == 0 and truncation_rates(rows(D)).count() == 0
+
+
+def test_censoring_posteriors_teach_what_endings_are_worth(rows, monkeypatch):
+    """Without the fitted limits nothing is learned, and texts are lost."""
+    from tessella.llm import truncation
+
+    data, cut = corpus()
+    docs = rows(D, *data)
+    found = {r.doc_id for r in truncated(docs).collect()}
+    fit = truncation.length_limits
+    monkeypatch.setattr(truncation, "length_limits", lambda d: fit(d).filter("false"))
+    without = {r.doc_id for r in truncated(docs).collect()}
+    assert found == cut and len(without & cut) < len(cut) * 0.8
+
+
+def test_short_limits_are_limits_too(rows):
+    """A limit of 20 characters, with natural lengths around it."""
+    rnd = random.Random(9)
+    data = []
+    for i in range(900):
+        text = " ".join(rnd.choice(WORDS) for _ in range(rnd.randint(1, 9)))
+        data.append((i, "names", None, text[:20], "x"))
+    limits = {(r.unit, r.length): r.posterior for r in truncation_limits(rows(D, *data)).collect()}
+    assert limits["chars", 20] > 0.9
+
+
+def truncation_limits(docs):
+    from pyspark.sql import functions as F
+
+    from tessella.llm.truncation import length_limits
+
+    return length_limits(docs.select("source", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("digest")))
+
+
+def test_fitted_evidence_of_nothing_and_of_limits():
+    import numpy as np
+    import pandas as pd
+
+    from tessella.llm.truncation import FACTORS, START, fitted_evidence
+
+    none = pd.DataFrame({**{f: pd.Series(dtype=object) for f in FACTORS}, "p": pd.Series(dtype=float), "n": pd.Series(dtype=float)})
+    assert fitted_evidence(none).odds["kind"] == {}
+    cells = pd.DataFrame(
+        [("no habit: prose", "known", "goes on", "as long", 0.99, 300), ("habit: prose", "known", "goes on", "as long", 0.99, 3), ("habit: prose", "known", "goes on", "as long", np.nan, 5000), ("no habit: prose", "known", "goes on", "as long", np.nan, 40), ("no habit: list", None, "goes on", "as long", np.nan, 9)],
+        columns=[*FACTORS, "p", "n"],
+    )
+    model = fitted_evidence(cells)
+    assert model.odds["kind"]["no habit: prose"] > 4 > START["no habit"] and abs(model.odds["kind"]["no habit: list"] - model.odds["kind"]["no habit: prose"]) < 1.5
