@@ -3,8 +3,11 @@
 Model: an item's true verdict t has the prior softmax(W x + b) of a regularised classifier over the
 item's features x; judge j answers l with probability C_j[t, l].  Expectation gives every item a
 posterior over t; maximisation re-estimates the confusion matrices from posterior counts (with a
-Dirichlet prior) and takes one step of the classifier towards the posteriors, by the fixed bound
-0.5 X'X on its curvature, which never lowers the objective.
+Dirichlet prior) and takes one step of the classifier towards the posteriors, by a fixed diagonal bound
+on its curvature (half of X'X's row sums), with momentum.
+
+Features are what is known of an item before any judge has seen it: kind, generator, confidence in
+tenths and the words of the claim, hashed into disjoint ranges.  The status is none, as verdicts make it.
 
 An iteration is one narrow pass over the written item table: a task sums its items' statistics and
 returns one row per (judge, answer) and feature it met, which Spark adds up.  Only the model lives
@@ -15,12 +18,15 @@ Answers: spellings that differ by case, blanks or joining signs are one word or
 one answer per item: of valid answers, the latest verdict (by created_at, then verdict_id), or else
 the adjudication (of several, the alphabetically first label).  Answers that are null or another
 word, adjudications with a cause other than 'judged', and rows without judge or item are no answers.
-Items without a claim have the mean prior.  Ties go to supported, then refuted, then unsupported.
+Items without a row in the claims table have the mean prior.  The fit ends when no
+confusion rate and no weight moves by the tolerance; if it has not by max_iter, it warns, and
+``reliability`` says so.  Ties go to supported, then refuted, then unsupported.
 Empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +38,8 @@ from tessella.plans.scratch import Scratch
 # Verdicts in order of preference among equals, and the labels that mean them.
 VERDICTS = ("supported", "refuted", "unsupported")
 LABELS = {"supported": "supported", "notsupported": "refuted", "uncertain": "unsupported"}
-#: Hashed features per item text and field; the last column is the bias.
-FEATURES = 96
+#: Hashed features: of fields, of words, and the bias as the last.
+FIELD_FEATURES, FEATURES = 1024, 16384
 MAX_JUDGES = 200_000
 MIN_JUDGES = 3
 _K = len(VERDICTS)
@@ -65,23 +71,26 @@ def answers(verdicts: DataFrame, adjudications: DataFrame) -> DataFrame:
 
 
 def item_features(assertions: DataFrame) -> DataFrame:
-    """(assertion_id, x): hashed features of kind, generator and claim words; one row per item."""
-    n = FEATURES - 1
+    """(assertion_id, x): hashed features of kind, generator, confidence and claim words; one row per item.
+
+    Columns that the table lacks give no features; of several rows of an item the latest counts.
+    """
     words = F.array_distinct(F.filter(F.split(F.lower("claim"), r"[^\p{L}\p{N}_]+"), lambda w: F.length(w) > 2))
-    half = n // 2
-    hashed = F.transform(words, lambda w: (F.pmod(F.xxhash64(w), F.lit(n - half)) + half).cast("int"))
-    fields = F.array(*(F.pmod(F.xxhash64(F.lit(f), F.col(f)), F.lit(half)).cast("int") for f in ("kind", "generator", "status")))
-    x = F.array_distinct(F.concat(fields, F.coalesce(hashed, F.array().cast("array<int>"))))
-    once = assertions.filter(F.col("assertion_id").isNotNull()).groupBy("assertion_id").agg(
-        F.max(F.struct("created_at", "kind", "generator", "status", "claim")).alias("a")
-    )
-    return once.select("assertion_id", "a.*").select("assertion_id", x.alias("x"))
+    hashed = F.transform(words, lambda w: (F.pmod(F.xxhash64(w), F.lit(FEATURES - 1 - FIELD_FEATURES)) + FIELD_FEATURES).cast("int"))
+    known = [c for c in ("created_at", "kind", "generator", "confidence", "claim") if c in assertions.columns]
+    told = {"kind": F.col("kind"), "generator": F.col("generator"), "confidence": F.floor(F.col("confidence").cast("double") * 10)}
+    fields = F.array(*(F.pmod(F.xxhash64(F.lit(f), c), F.lit(FIELD_FEATURES)).cast("int") for f, c in told.items() if f in known)).cast("array<int>")
+    none = F.array().cast("array<int>")
+    x = F.array_distinct(F.concat(fields, F.coalesce(hashed, none) if "claim" in known else none))
+    rows = assertions.filter(F.col("assertion_id").isNotNull()).select("assertion_id", *known)
+    once = rows.groupBy("assertion_id").agg(F.max(F.struct(*known)).alias("a")).select("assertion_id", "a.*") if known else rows.distinct()
+    return once.select("assertion_id", x.alias("x"))
 
 
 def _unpack(b: pd.DataFrame) -> tuple[np.ndarray, ...]:
     """Flat arrays of a batch: answer's item, judge, label; feature's item, feature."""
     n_a = b["judges"].str.len().to_numpy()
-    n_x = b["x"].str.len().fillna(0).to_numpy().astype(int)
+    n_x = np.array([0 if x is None else len(x) for x in b["x"]], int)
     item = np.repeat(np.arange(len(b)), n_a)
     judge = np.concatenate(b["judges"].to_list()).astype(np.int64)
     label = np.concatenate(b["labels"].to_list()).astype(np.int64)
@@ -125,7 +134,7 @@ def _statistics(log_c: np.ndarray | None, w: np.ndarray, n_judges: int, curvatur
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros((n_judges, _K, _K))
         grad = np.zeros((FEATURES, _K))
-        xx = np.zeros((FEATURES, FEATURES))
+        bound = np.zeros(FEATURES)
         for b in batches:
             if not len(b):
                 continue
@@ -134,10 +143,8 @@ def _statistics(log_c: np.ndarray | None, w: np.ndarray, n_judges: int, curvatur
                 np.add.at(counts[:, t, :], (judge, label), q[item, t])
             np.add.at(grad, feature, (q - prior)[x_item])
             if curvature:
-                dense = np.zeros((len(b), FEATURES))
-                dense[x_item, feature] = 1.0
-                xx += dense.T @ dense
-        for part, m in (("c", counts), ("g", grad[:, :, None]), ("x", xx[:, :, None])):
+                np.add.at(bound, feature, np.bincount(x_item, minlength=len(b)).astype(float)[x_item])
+        for part, m in (("c", counts), ("g", grad[:, :, None]), ("x", bound[:, None, None])):
             at = np.nonzero(m)
             if len(at[0]):
                 yield pd.DataFrame({"part": part, "i": at[0], "j": at[1], "k": at[2], "v": m[at]})
@@ -148,7 +155,8 @@ def _statistics(log_c: np.ndarray | None, w: np.ndarray, n_judges: int, curvatur
 class Consensus:
     """Fits the model; then items and judges can be read off."""
 
-    def __init__(self, verdicts: DataFrame, adjudications: DataFrame, assertions: DataFrame, max_iter: int = 25, tolerance: float = 2e-3, ridge: float = 20.0):
+    def __init__(self, verdicts: DataFrame, adjudications: DataFrame, assertions: DataFrame, max_iter: int = 100, tolerance: float = 2e-3, ridge: float = 20.0, features: bool = True):
+        """``features=False`` leaves the classifier its bias only."""
         spark = verdicts.sparkSession
         self.scratch = Scratch(spark)
         said = self.scratch.cut(answers(verdicts, adjudications))
@@ -159,7 +167,7 @@ class Consensus:
         number = spark.createDataFrame([(r[0], i) for i, r in enumerate(names)], "judge string, j int")
         packed = said.join(number, "judge").groupBy("assertion_id").agg(F.array_sort(F.collect_list(F.struct("j", "label"))).alias("a"))
         rows = packed.join(item_features(assertions), "assertion_id", "left").select(
-            "assertion_id", F.col("a.j").alias("judges"), F.transform("a", lambda s: s["label"].cast("int")).alias("labels"), "x"
+            "assertion_id", F.col("a.j").alias("judges"), F.transform("a", lambda s: s["label"].cast("int")).alias("labels"), ("x" if features else F.lit(None).cast("array<int>").alias("x"))
         )
         self.items = self.scratch.cut(rows)
         self._fit(max_iter, tolerance, ridge)
@@ -167,37 +175,43 @@ class Consensus:
     def _pass(self, log_c, curvature: bool):
         n = len(self.judges)
         sums = self.items.mapInPandas(_statistics(log_c, self.w, n, curvature), _STAT).groupBy("part", "i", "j", "k").agg(F.sum("v").alias("v")).toPandas()
-        counts, grad, xx = np.zeros((n, _K, _K)), np.zeros((FEATURES, _K)), np.zeros((FEATURES, FEATURES))
-        for part, into in (("c", counts), ("g", grad), ("x", xx)):
+        counts, grad, bound = np.zeros((n, _K, _K)), np.zeros((FEATURES, _K)), np.zeros((FEATURES, 1))
+        for part, into in (("c", counts), ("g", grad), ("x", bound)):
             s = sums[sums["part"] == part]
             ijk = (s["i"], s["j"], s["k"]) if part == "c" else (s["i"], s["j"])
             into[tuple(np.asarray(a) for a in ijk)] = s["v"]
-        return counts, grad, xx
+        return counts, grad, bound
 
     def _fit(self, max_iter: int, tolerance: float, ridge: float) -> None:
         n = len(self.judges)
         self.w = np.zeros((FEATURES, _K))
         self.log_c, self.iterations = None, 0
         self.c = np.full((n, _K, _K), 1 / _K)
+        self.converged = True
         if not n:
             return
         penalty = np.full(FEATURES, ridge)
         penalty[-1] = 1e-3  # the bias is hardly held back
-        curve = None
+        step, last, pace = None, self.w, 0
         prior = 0.5 + np.eye(_K) * 1.0
         for self.iterations in range(1, max_iter + 1):
-            counts, grad, xx = self._pass(self.log_c, curve is None)
-            if curve is None:
-                curve = np.linalg.inv(0.5 * xx + np.diag(penalty))
+            counts, grad, bound = self._pass(self.log_c, step is None)
+            if step is None:
+                step = 1 / (0.5 * bound + penalty[:, None])
             c = counts + prior
             c /= c.sum(2, keepdims=True)
-            moved = np.abs(c - self.c).max()
-            self.c, self.log_c = c, np.log(c)
-            self.w = self.w + curve @ (grad - penalty[:, None] * self.w)
+            up = step * (grad - penalty[:, None] * self.w)
+            w = self.w + up
+            moved = max(np.abs(c - self.c).max(), np.abs(up).max())
+            # momentum, until it points against the step
+            pace = pace + 1 if (up * (w - last)).sum() >= 0 else 1
+            self.c, self.log_c, self.w, last = c, np.log(c), w + (pace - 1) / (pace + 2) * (w - last), w
             self.share = counts.sum((0, 2)) / counts.sum()
             self.n_answers = counts.sum((1, 2))
-            if moved < tolerance:
-                break
+            self.converged = bool(moved < tolerance)
+            if self.converged:
+                return
+        warnings.warn(f"not converged after {max_iter} iterations: a rate or weight still moved by {moved:.4f}", stacklevel=3)
 
     def verdicts(self) -> DataFrame:
         """assertion_id, verdict, confidence, n_judges, agreement (share of agreeing pairs of answers)."""
@@ -228,13 +242,13 @@ class Consensus:
         return out.withColumn("agreement", F.nanvl("agreement", F.lit(None)))
 
     def reliability(self) -> DataFrame:
-        """judge, n_answers, accuracy (chance of the true verdict), information (bits per answer)."""
+        """judge, n_answers, accuracy (chance of the true verdict), information (bits per answer), converged."""
         rows = []
         for j, name in enumerate(self.judges):
             joint = self.share[:, None] * self.c[j]
             bits = float((joint * np.log2(joint / (joint.sum(1, keepdims=True) * joint.sum(0, keepdims=True)))).sum())
-            rows.append((name, int(round(self.n_answers[j])), float(joint.trace()), bits))
-        return self.items.sparkSession.createDataFrame(rows, "judge string, n_answers long, accuracy double, information double")
+            rows.append((name, int(round(self.n_answers[j])), float(joint.trace()), bits, self.converged))
+        return self.items.sparkSession.createDataFrame(rows, "judge string, n_answers long, accuracy double, information double, converged boolean")
 
     def alpha(self) -> DataFrame:
         """Krippendorff's alpha for nominal answers over all items with two or more answers."""

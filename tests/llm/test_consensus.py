@@ -35,3 +35,39 @@ def test_reliable_judges_outweigh_many_poor_ones(rows):
 def test_empty_tables(rows):
     c = Consensus(rows(V), rows(A), rows(S))
     assert c.verdicts().count() == 0 and c.reliability().count() == 0
+
+
+def planted(seed, n):
+    """Items whose claim words tell the verdict in four of five cases, each with three fair judges."""
+    rnd = random.Random(seed)
+    sign = dict(zip(VERDICTS, ("holds", "breaks", "unclear")))
+    data, claims, truth = [], [], {}
+    for item in range(n):
+        truth[item] = t = rnd.choice(VERDICTS)
+        word = sign[t] if rnd.random() < 0.8 else rnd.choice(list(sign.values()))
+        claims.append((item, "k", "g", "active", f"the {rnd.choice(('cache', 'queue', 'shard'))} {word} number {rnd.randint(0, 50)}", T))
+        for judge, right in (("a", 0.6), ("b", 0.6), ("c", 0.6), ("held out", 0.95)):
+            data.append((len(data), item, judge, t if rnd.random() < right else rnd.choice(VERDICTS), T, None))
+    return data, claims, truth
+
+
+def test_features_decide_where_judges_cannot(rows):
+    """Without the held-out judge, its answers are met more often with features than without."""
+    data, claims, truth = planted(6, 900)
+    seen, held = [r for r in data if r[2] != "held out"], {r[1]: r[3] for r in data if r[2] == "held out"}
+    met = {}
+    for features in (True, False):
+        fit = Consensus(rows(V, *seen), rows(A), rows(S, *claims), features=features)
+        got = {r.assertion_id: r.verdict for r in fit.verdicts().collect()}
+        met[features] = sum(got[i] == v for i, v in held.items()), got
+    assert met[True][0] > met[False][0] + 30
+    assert sum(met[True][1][i] != met[False][1][i] for i in truth) > 50
+
+
+def test_a_fit_that_is_cut_short_says_so(rows):
+    import pytest
+
+    data, claims, _ = planted(6, 60)
+    with pytest.warns(UserWarning, match="not converged"):
+        fit = Consensus(rows(V, *data), rows(A), rows(S, *claims), max_iter=2)
+    assert not any(r.converged for r in fit.reliability().collect())
