@@ -85,6 +85,21 @@ DOC, WORD, FRAME = 0, 1, 2
 WHOLE, OPEN, UNSURE = 0, 1, 2
 
 
+def _at_end(pattern: re.Pattern, t: str) -> re.Match | None:
+    """The match of a pattern that ends with ``$``, without a search of the whole text where its end shows that none is needed.
+
+    A match that begins before the last 256 characters would be free of blanks or of letters and digits there.
+    """
+    pos = len(t) - 256
+    if pos > 0:
+        tail = t[pos:]
+        if len(tail.split(None, 2)) > 1 and any(map(str.isalnum, tail)):
+            m = pattern.search(t, pos)
+            if m is None or m.start() > pos:
+                return m
+    return pattern.search(t)
+
+
 def _unclosed_code(text: str) -> bool:
     """Whether code ends inside a bracket or string."""
     pos, depth = 0, 0
@@ -150,16 +165,16 @@ def ending(text: str) -> tuple[int, str, str | None, bool]:
     ended = "\n" in text[len(t) :]
     lines = t.split("\n")
     last, before = lines[-1], lines[:-1]
-    found = _LAST_WORD.search(t)
+    found = _at_end(_LAST_WORD, t)
     word = None
     if found:
         humps = _HUMP.findall(found.group(1))
         word = humps[-1].lower() if humps else None
     if t.endswith("�"):
         return OPEN, "character", None, ended
-    if _SO_ON.search(t):
+    if _at_end(_SO_ON, t):
         return WHOLE, "so on", None, ended
-    if _MARK.search(t):
+    if _at_end(_MARK, t):
         return OPEN, "mark", None, ended
     head = t.lstrip()
     if head[0] == "{" and '"' in head or head.startswith('[{"'):
@@ -182,12 +197,12 @@ def ending(text: str) -> tuple[int, str, str | None, bool]:
         return (WHOLE if last.endswith("|") and len(last.strip()) > 1 and same else OPEN), "table", None, ended
     if any(_LOG.match(x) for x in (last, *before[-1:])):
         return UNSURE, (_line_frame(last) or "log|") if _LOG.match(last) else "log|short", None, ended
-    if _CODE.search(text):
+    if ("def" in text or "class" in text) and _CODE.search(text):
         first = last.split(None, 1)[0] if last.split() else ""
         return (OPEN if _unclosed_code(t) else UNSURE), "code|" + re.sub(r"\W.*", "", first), word, ended
-    path_cut = bool(_CUT_PATH.search(t)) and not _WHOLE_PATH.search(t)
+    path_cut = bool(_at_end(_CUT_PATH, t)) and not _at_end(_WHOLE_PATH, t)
     odd = _unbalanced(last)
-    if _END.search(t) and not path_cut:
+    if _at_end(_END, t) and not path_cut:
         return (OPEN if last.count("`") % 2 else WHOLE), "sentence", None, ended
     if path_cut or odd:
         return OPEN, "inside", None, ended
@@ -207,7 +222,7 @@ def ending(text: str) -> tuple[int, str, str | None, bool]:
 def _count_inside(text: str, words: Counter, finals: Counter, frames: Counter, source) -> None:
     """Words and line frames of a text without its end."""
     t = text.rstrip()
-    m = _LAST_WORD.search(t)
+    m = _at_end(_LAST_WORD, t)
     body = t[: m.start()] if m else t
     words.update(_WORDS.findall(body))
     finals.update(_FINAL_WORDS.findall(body))
