@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tessella.functions.text import query_terms, tokens
+from tessella.plans.scratch import Scratch
 
 # Constants of BM25, of rank fusion and of spreading activation.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -166,3 +167,98 @@ def expand(edges: DataFrame, seeds: DataFrame, k: int = 10, hops: int = 2) -> Da
         frontier = given.groupBy("query_id", "id").agg(F.max("a").alias("a")).join(seeds.select("query_id", "id"), ["query_id", "id"], "left_anti")
     sums = got.groupBy("query_id", "id").agg(F.round(F.sum("a"), 6).alias("score")).join(seeds.select("query_id", "id"), ["query_id", "id"], "left_anti")
     return ranked(sums, "id", k)
+
+
+def hybrid(lexical: DataFrame, dense: DataFrame, edges: DataFrame, tests: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, id, score, modality, rank): BM25 and vector hits, what they reach in the graph, fused; tests demoted.
+
+    lexical, dense: query_id, rank, id, as deep as ``4 * k``.  The graph is entered at ``k`` seeds that
+    the two lists give in turn.  Either list may be empty; without both there are no results.
+    """
+    found = lexical.select("query_id", F.lit("lexical").alias("modality"), "rank", "id").unionByName(dense.select("query_id", F.lit("dense").alias("modality"), "rank", "id"))
+    found = Scratch(edges.sparkSession).cut(found.filter(F.col("rank") <= 4 * k))  # read three times, and small
+    spread = expand(edges, merge_seeds(found, ["lexical", "dense"], k), 4 * k)
+    return fuse(found.unionByName(spread.select("query_id", F.lit("graph").alias("modality"), "rank", "id")), k, tests)
+
+
+# Bounds of what a reranker reads.
+RERANKED, DOC_CHARS, QUERY_CHARS = 100, 4000, 1000
+
+
+def rerank_documents(symbols: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(id, text): a symbol's chunk, or else its header, or else its name; empty texts count as none."""
+    rows = symbols.select(F.col("symbol_id").alias("id"), "header", "qualname").join(chunks.select(F.col("symbol_id").alias("id"), F.col("text").alias("chunk")), "id", "left")
+    text = F.coalesce(F.nullif("chunk", F.lit("")), F.nullif("header", F.lit("")), F.col("qualname"))
+    return rows.select("id", F.substring(text, 1, DOC_CHARS).alias("text"))
+
+
+def rerank(hits: DataFrame, queries: DataFrame, documents: DataFrame, scorer, k: int = 10) -> DataFrame:
+    """(query_id, id, score, rank) of ranked hits (query_id, id, rank) in the order of a scorer.
+
+    ``scorer`` makes a score of the columns query and text, built-in or as a pandas UDF around a model.
+    The first 100 hits are scored; the others keep their order behind them.  Equal scores and hits
+    without text (which score lowest) stay in the order they came in.
+    """
+    asked = queries.select("query_id", F.substring("query", 1, QUERY_CHARS).alias("query"))
+    rows = hits.select("query_id", "id", F.col("rank").alias("was")).join(asked, "query_id").join(documents, "id", "left")
+    score = F.when(F.col("was") <= RERANKED, scorer(F.col("query"), F.coalesce("text", F.lit(""))))
+    order = W.partitionBy("query_id").orderBy((F.col("was") > RERANKED).cast("int"), F.col("score").desc_nulls_last(), "was")
+    return rows.withColumn("score", F.round(score, 6)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "id", "score", "rank")
+
+
+def pool_order(members: DataFrame, pool: DataFrame) -> DataFrame:
+    """(query_id, modality, id, rank): a modality's members that are in the fused pool, ranked as the pool ranks them."""
+    hit = members.select("query_id", "modality", "id").distinct().join(pool.select("query_id", "id", F.col("rank").alias("at")), ["query_id", "id"])
+    order = W.partitionBy("query_id", "modality").orderBy("at", "id")
+    return hit.select("query_id", "modality", "id", F.row_number().over(order).alias("rank"))
+
+
+def related(edges: DataFrame, most: int = 10) -> DataFrame:
+    """(node, direction, other, place): the first ``most`` callees and callers of each node by id."""
+    out = edges.select(F.col("src").alias("node"), F.lit("callee").alias("direction"), F.col("dst").alias("other"))
+    into = edges.select(F.col("dst").alias("node"), F.lit("caller").alias("direction"), F.col("src").alias("other"))
+    order = W.partitionBy("node", "direction").orderBy("other")
+    return out.unionByName(into).distinct().withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
+
+
+# Bounds of an embedding batch.
+BATCH_CHARS, BATCH_ITEMS = 16_000, 32
+
+
+def embed_missing(texts: DataFrame, known: DataFrame, embed, model: str) -> DataFrame:
+    """(text_hash, model, embedding) of the texts (id, text) that ``known`` (text_hash, model) lacks.
+
+    ``embed`` takes a list of texts and gives their vectors; it is called with at most 32 texts of
+    16,000 characters together (one longer text alone).  Copies are embedded once; null texts not at all.
+    """
+    hashed = texts.filter(F.col("text").isNotNull()).select(F.sha2("text", 256).alias("text_hash"), "text").dropDuplicates(["text_hash"])
+    new = hashed.join(known.filter(F.col("model") == model).select("text_hash").distinct(), "text_hash", "left_anti")
+
+    def run(batches):
+        for b in batches:
+            b = b.sort_values("text", key=lambda t: t.str.len(), kind="stable", ignore_index=True)
+            start = 0
+            while start < len(b):
+                end, chars = start, 0
+                while end < len(b) and end - start < BATCH_ITEMS and (end == start or chars + len(b["text"][end]) <= BATCH_CHARS):
+                    chars += len(b["text"][end])
+                    end += 1
+                part = b.iloc[start:end]
+                yield pd.DataFrame({"text_hash": part["text_hash"], "model": model, "embedding": list(embed(part["text"].to_list()))})
+                start = end
+
+    return new.mapInPandas(run, "text_hash string, model string, embedding array<double>")
+
+
+def hash_embedder(texts: list[str], size: int = 16) -> list[np.ndarray]:
+    """A deterministic stand-in for a model: how many tokens fall on each first digit of their md5."""
+    import hashlib
+    import re
+
+    out = []
+    for t in texts:
+        v = np.zeros(size)
+        for w in re.findall(r"[^\W_]+", t.lower()):
+            v[int(hashlib.md5(w.encode()).hexdigest()[0], 16) % size] += 1
+        out.append(v)
+    return out
