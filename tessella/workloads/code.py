@@ -97,7 +97,22 @@ def e12_source_slices(spark, d):
     return rows.filter("n_bytes > 0")
 
 
-@query()
+_PRESENT = "(select repo_id, path, bytes from (select *, row_number() over (partition by repo_id, path order by mtime_ns desc nulls last, coalesce(state <> 'present', true), size_bytes desc nulls last) n_ from snapshots where path is not null) where n_ = 1 and state = 'present' and bytes is not null)"
+#: The verified text of symbols: vt(repo_id, symbol_id, body), body a text.
+_TEXTS = f"""vf as (select distinct s.repo_id, symbol_id, kind, line_start, line_end, bytes, lower(content_hash) as want, case when byte_start >= 0 and byte_end > byte_start then unhex(substr(hex(bytes), 2 * byte_start + 1, 2 * (byte_end - byte_start))) end as by_byte
+  from symbols s join {_PRESENT} f using (repo_id, path)),
+ vl as (select *, case when line_start >= 1 and line_end >= line_start then trim(array_to_string(list_slice(string_split(decode(bytes), chr(10)), line_start, line_end), chr(10)), ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)) end as by_line from vf),
+ vt as (select distinct repo_id, symbol_id, case when kind = 'module' then case when sha256(bytes) = want then decode(bytes) end when sha256(by_byte) = want then decode(by_byte) when sha256(encode(by_line)) = want then by_line end as body from vl)"""
+
+
+@query(f"with {_TEXTS} select repo_id, symbol_id, md5(body) as body, length(body) as n_chars from vt where body is not null")
+def e12_verified_texts(spark, d):
+    v = code.verified_texts(_symbols(spark, d), table(spark, d, "snapshots"))
+    return v.select("repo_id", "symbol_id", F.md5("body").alias("body"), F.length(F.col("body").cast("string")).cast("long").alias("n_chars"))
+
+
+@query(f"""with {_TEXTS} select s.repo_id, s.symbol_id, {_HEADER} || chr(10) || case when length(body) > 24000 then substr(body, 1, 24000) || chr(10) || '# ... [truncated: symbol exceeds MAX_CHUNK_CHARS]' else body end as text
+ from {_SYM} s join vt using (repo_id, symbol_id) where kind in ('function', 'method') and length(body) > 0""")
 def e12_source_chunks(spark, d):
     return code.source_chunks(_symbols(spark, d), table(spark, d, "snapshots"))
 
