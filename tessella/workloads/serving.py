@@ -163,3 +163,12 @@ def f12_verified_search(spark, d):
     policy = C.serving(c, table(spark, d, "verdicts"), require_verdict=False).filter("eligible").select("assertion_id")
     served = S.outcomes(c, checks(spark, d)).filter("outcome IN ('served', 'no_evidence')").select("assertion_id")
     return S.verified_hits(more._claim_hits(spark, d, 400).withColumnRenamed("doc_id", "assertion_id"), policy, served, 10)
+
+
+_GATE = next(sql for name, sql in __import__("tessella.plans.catalog", fromlist=["ORACLES"]).ORACLES.items() if name == "claim_gate_p1")
+
+
+@query(f"select coalesce(refusal, 'admitted') as outcome, count(*) as n from ({_GATE}) group by all")
+def d9_learn_report(spark, d):
+    """Submissions by what became of them; the counts add up to all."""
+    return claim_gate_p1(spark, d).groupBy(F.coalesce("refusal", F.lit("admitted")).alias("outcome")).agg(F.count("*").alias("n"))
