@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tessella.operators.stats import nearest_rank
+from tessella.plans.order import numbered
 
 RESAMPLES = 2000
 
@@ -28,16 +29,13 @@ def cluster_means(values: DataFrame, resamples: int, seed: int = 20) -> DataFram
     counts per cluster take part, numbered in order of their name.  A single cluster would be the
     same in every resample, so its values are drawn one by one, numbered in order of their size.
     """
-    from pyspark.sql import Window as W
-
     c = values.groupBy("cluster").agg(F.sum("value").alias("s"), F.count("value").alias("m"))
     n = c.count()
     key = "cluster"
     if n == 1:
         c, key = values.filter("value IS NOT NULL").select(F.col("value").alias("s"), F.lit(1).alias("m")), "s"
         n = c.count()
-    numbered = c.withColumn("pick", (F.row_number().over(W.orderBy(key)) - 1).cast("long"))
-    picked = draws(values.sparkSession, resamples, n, seed).join(numbered, "pick")
+    picked = draws(values.sparkSession, resamples, n, seed).join(numbered(c, [key], "pick"), "pick")
     return picked.groupBy("b").agg((F.sum("s") / F.sum("m")).alias("value"))
 
 

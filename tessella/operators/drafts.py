@@ -14,6 +14,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from tessella.functions.text import model_family
 from tessella.operators.claims import LABELS, word
+from tessella.plans.scratch import Scratch
 
 # Places on a menu and the largest neighbour on it.
 MENU, NEIGHBOUR_BYTES = 12, 4_000
@@ -130,8 +131,11 @@ def learned(subjects: DataFrame, menu: DataFrame, texts: DataFrame, generate: Ca
     outcome: no_offers, no_claim, off_menu (any reference to nothing), no_evidence (no reference), or drafted.
     An error of the generator ends the round; nothing of it is kept.
     """
+    scratch = Scratch(menu.sparkSession)
+    menu, texts = scratch.cut(menu), scratch.cut(texts)  # read several times
     shown = menu.join(texts, "id").groupBy("subject").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ref", "text"))), lambda x: F.concat(F.lit("["), x["ref"].cast("string"), F.lit("]\n"), x["text"])), "\n\n").alias("prompt"))
     a = asked(shown, "prompt", generate).select("subject", parsed_draft(F.col("answer")).alias("d")).select("subject", "d.claim", "d.refs")
+    a = scratch.cut(a)  # a model is asked once
     r = resolved_drafts(a.select(F.col("subject").alias("draft_id"), "subject", "refs"), menu).withColumnRenamed("draft_id", "subject")
     rows = subjects.select("subject").distinct().join(a.join(r, "subject", "left"), "subject", "left")
     outcome = (

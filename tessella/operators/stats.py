@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tessella.plans.order import at_ranks
+
 # Normal quantiles of a 95 % interval and of 80 % power.
 Z95, Z_POWER = 1.959964, 0.841621
 
@@ -86,14 +88,18 @@ def required_n(sd, delta: float, deff=None, power: float = 0.8) -> Column:
 
 def nearest_rank(values: DataFrame, ps: list[float]) -> DataFrame:
     """(p, value): the sorted values' element at min(n - 1, int(p * n)); nulls do not count."""
-    some = values.filter(F.col("value").isNotNull())
-    # ranks come from counts of distinct values, so no task sorts all rows
-    counts = some.groupBy("value").agg(F.count("*").alias("c"))
-    run = counts.withColumn("upto", F.sum("c").over(W.orderBy("value").rowsBetween(W.unboundedPreceding, 0)))
-    n = some.agg(F.count("*").alias("n"))
-    wanted = values.sparkSession.createDataFrame([(p,) for p in ps], "p double").crossJoin(n)
+    some = values.select(F.lit(0).alias("group"), "value").filter(F.col("value").isNotNull())
+    n = some.agg(F.count("*").alias("n")).filter("n > 0")
+    wanted = values.sparkSession.createDataFrame([(float(p),) for p in ps], "p double").crossJoin(n)  # one row
     at = F.least(F.col("n") - 1, F.floor(F.col("p") * F.col("n")))
-    return wanted.join(run, (F.col("upto") > at) & (F.col("upto") - F.col("c") <= at)).select("p", "value")
+    return at_ranks(some, wanted.select(F.lit(0).alias("group"), F.col("p").alias("tag"), at.alias("at"))).select(F.col("tag").alias("p"), "value")
+
+
+def medians(values: DataFrame) -> DataFrame:
+    """(group, median) of (group, value): the middle value, or the mean of the two in the middle; nulls do not count."""
+    n = values.filter(F.col("value").isNotNull()).groupBy("group").agg(F.count("*").alias("n"))
+    tags = F.explode(F.array(F.struct(F.lit(0).alias("tag"), F.floor((F.col("n") - 1) / 2).alias("at")), F.struct(F.lit(1).alias("tag"), F.floor(F.col("n") / 2).alias("at"))))
+    return at_ranks(values.select("group", "value"), n.select("group", tags.alias("w")).select("group", "w.tag", "w.at")).groupBy("group").agg(F.avg("value").alias("median"))
 
 
 def cohen_kappa(pairs: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from tessella.operators import code, mining, retrieval
 from tessella.plans.catalog import query, table
 from tessella.workloads import hybrid as H, more
 from tessella.workloads.code import _PRESENT, _SYM, _TEST, _TEXTS
+from tessella.workloads.text import _STOCK
 
 _WORDS = r"list_transform(regexp_extract_all(regexp_replace({}, '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '[A-Z][a-z]+|[A-Z]+|[a-z]+|[0-9]+'), lambda w: lower(w))".format
 _STOP = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in X.STOPWORDS) + "]"
@@ -44,12 +45,6 @@ def _commits(spark, d):
     return c.select(F.col("doc_id").alias("commit_id"), "text", F.split("text", "\n")[0].alias("subject"), X.without_trailers(F.col("text")).alias("prose"))
 
 
-# Fixed values, held here on their own: subjects that say nothing about purpose.
-_STOCK = (
-    r"(?i)^(wip|fixup|squash|fix|fixes|fixed|bug ?fix|update|updates|updated|cleanup|clean ?up|refactor|refactoring|misc|minor|tweak|tweaks|nit|nits|typo|typos|lint|format|formatting|style|rename"
-    r"|address (review|comments|feedback)|review (fixes|feedback)|pr feedback|comments|bump|bump (version|deps|dependencies)|version bump|release|initial commit|first commit|init|initial|checkpoint|save|temp|tmp"
-    r"|test|tests|more tests|add tests|docs|doc|documentation|readme|chore|revert.*|merge.*|v?\d+(\.\d+)*)$"
-)
 _BARE = rf"trim(regexp_replace(regexp_replace({_SQ('subject')}, '^[A-Za-z][A-Za-z0-9_.]*(\([^)]*\))?!?: *', ''), '\.+$', ''))"
 
 

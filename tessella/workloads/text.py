@@ -15,13 +15,9 @@ def _docs(spark, d):
     return table(spark, d, "documents").filter("text IS NOT NULL")
 
 
-def _commits(spark, d):
-    return _docs(spark, d).filter("source = 'commit_log'")
-
-
-@query(r"""select doc_id, trim(regexp_replace(text, '(\n[ \t\r]*([A-Za-z][A-Za-z0-9-]*:[ \t][^\n]*)?)+$', ''), ' ' || chr(9) || chr(10) || chr(13)) as prose from documents where text is not null and source = 'commit_log'""")
+@query(r"""select doc_id, trim(regexp_replace(text, '(\n[ \t\r]*([A-Za-z][A-Za-z0-9-]*:[ \t][^\n]*)?)+$', ''), ' ' || chr(9) || chr(10) || chr(13)) as prose from documents where text is not null""")
 def x3_strip_trailers(spark, d):
-    return _commits(spark, d).select("doc_id", X.without_trailers(F.col("text")).alias("prose"))
+    return _docs(spark, d).select("doc_id", X.without_trailers(F.col("text")).alias("prose"))
 
 
 @query("select doc_id, regexp_replace(text, '```.*?```', chr(10), 'gs') as prose from documents where text is not null")
@@ -78,17 +74,23 @@ def x15_blind_sensitivity(spark, d):
     return kept.unpivot([], ["2", "3", "4", "5"], "min_blind", "kept").withColumn("min_blind", F.col("min_blind").cast("int"))
 
 
-@query(f"select doc_id, substr(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60) as slug from documents where text is not null and source = 'gold_queries'")
+@query(f"select doc_id, substr(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60) as slug from documents where text is not null")
 def x20_slug(spark, d):
-    return _docs(spark, d).filter("source = 'gold_queries'").select("doc_id", X.slug(F.col("text")).alias("slug"))
+    return _docs(spark, d).select("doc_id", X.slug(F.col("text")).alias("slug"))
 
 
+# Fixed values, held here on their own: subjects that say nothing about purpose.
+_STOCK = (
+    r"(?i)^(wip|fixup|squash|fix|fixes|fixed|bug ?fix|update|updates|updated|cleanup|clean ?up|refactor|refactoring|misc|minor|tweak|tweaks|nit|nits|typo|typos|lint|format|formatting|style|rename"
+    r"|address (review|comments|feedback)|review (fixes|feedback)|pr feedback|comments|bump|bump (version|deps|dependencies)|version bump|release|initial commit|first commit|init|initial|checkpoint|save|temp|tmp"
+    r"|test|tests|more tests|add tests|docs|doc|documentation|readme|chore|revert.*|merge.*|v?\d+(\.\d+)*)$"
+)
 _STRIP = rf"trim(regexp_replace(regexp_replace({_SQ(_SUBJECT)}, '^[A-Za-z][A-Za-z0-9_.]*(\([^)]*\))?!?: *', ''), '\.+$', ''))"
 
 
-@query(f"select doc_id, ({_STRIP} = '' or regexp_matches({_STRIP}, '{X.BOILERPLATE}') or len(string_split({_STRIP}, ' ')) <= 2) as boilerplate from documents where text is not null and source = 'commit_log'")
+@query(f"select doc_id, ({_STRIP} = '' or regexp_matches({_STRIP}, '{_STOCK}') or len(string_split({_STRIP}, ' ')) <= 2) as boilerplate from documents where text is not null")
 def b11_boilerplate(spark, d):
-    return _commits(spark, d).select("doc_id", X.is_boilerplate(F.split(F.col("text"), "\n")[0]).alias("boilerplate"))
+    return _docs(spark, d).select("doc_id", X.is_boilerplate(F.split(F.col("text"), "\n")[0]).alias("boilerplate"))
 
 
 @query(f"select doc_id, coalesce({_CODE.replace('claim', 'text')} >= 1, false) as code from documents where text is not null")
@@ -131,10 +133,11 @@ def d11_deciles(spark, d):
 @query("""select event_type, count(value) as n, round(avg(value), 6) as mean, round(stddev_samp(value), 6) as sd, round(stddev_samp(value) / avg(value), 6) as cv, min(value) as low, round(median(value), 6) as median, max(value) as high from events group by all""")
 def d13_spread(spark, d):
     v = F.col("value")
-    return table(spark, d, "events").groupBy("event_type").agg(
-        F.count(v).alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_samp(v), 6).alias("sd"), F.round(F.try_divide(F.stddev_samp(v), F.avg(v)), 6).alias("cv"),
-        F.min(v).alias("low"), F.round(F.median(v), 6).alias("median"), F.max(v).alias("high"),
+    events = table(spark, d, "events").select(F.col("event_type").alias("group"), "value")
+    g = events.groupBy("group").agg(
+        F.count(v).alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_samp(v), 6).alias("sd"), F.round(F.try_divide(F.stddev_samp(v), F.avg(v)), 6).alias("cv"), F.min(v).alias("low"), F.max(v).alias("high"),
     )
+    return g.join(stats.medians(events), "group", "left").select(F.col("group").alias("event_type"), "n", "mean", "sd", "cv", "low", F.round("median", 6).alias("median"), "high")
 
 
 @query("""with g as (select event_type as c, count(*) as m, avg(value) as mean, var_pop(value) as v from events where value is not null group by all), t as (select avg(value) as grand, count(distinct event_type) as k from events where value is not null),
