@@ -110,10 +110,10 @@ def container_chunks(symbols: DataFrame) -> DataFrame:
 
 def source_chunks(symbols: DataFrame, snapshots: DataFrame) -> DataFrame:
     """(repo_id, symbol_id, text) of functions and methods: header and verified source, long ones truncated."""
-    some = chunk_headers(symbols.filter("kind IN ('function', 'method')"))
+    some = with_bodies(chunk_headers(symbols.filter("kind IN ('function', 'method')")), snapshots)
     part = F.make_valid_utf8(F.col("body").cast("string"))
     body = F.when(F.length(part) > MAX_CHUNK_CHARS, F.concat(F.substring(part, 1, MAX_CHUNK_CHARS), F.lit(TRUNCATED))).otherwise(part)
-    rows = some.join(verified_texts(symbols, snapshots), ["repo_id", "symbol_id"]).select("repo_id", "symbol_id", "header", body.alias("body"))
+    rows = some.select("repo_id", "symbol_id", "header", body.alias("body"))
     return rows.filter(F.length("body") > 0).select("repo_id", "symbol_id", F.concat_ws("\n", "header", "body").alias("text"))
 
 
@@ -167,19 +167,28 @@ def admission(submissions: DataFrame, subjects: DataFrame, snapshots: DataFrame)
     return submissions.join(known, ["repo_id", "subject"], "left").join(state, "span_id").select("repo_id", "span_id", code.alias("refusal"))
 
 
-def verified_texts(symbols: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """(repo_id, symbol_id, body) of the symbols whose text the current files still hold, by content_hash.
+def with_bodies(symbols: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Symbol rows with ``body``, their text in the current files, or null.
 
     The bytes that the byte fields name, or else the lines that the line fields name, without blanks and
-    line ends at either end; a module's text is its whole file.  What has another hash is no text.
+    line ends at either end; a module's text is its whole file.  What has another hash is no text; only
+    symbols of a table without content_hash are taken at their fields' word.  Rows of files that are not
+    present are left out.
     """
-    files = current_states(snapshots, present_first=True).filter("state = 'present' AND bytes IS NOT NULL").select("repo_id", "path", "bytes")
-    s = symbols.select("repo_id", "symbol_id", "path", "kind", "line_start", "line_end", "byte_start", "byte_end", F.lower("content_hash").alias("want")).distinct()
-    named = F.when((F.col("byte_start") >= 0) & (F.col("byte_end") > F.col("byte_start")), F.substr("bytes", F.col("byte_start") + 1, F.col("byte_end") - F.col("byte_start")))
-    text = F.col("bytes").cast("string")
+    files = current_states(snapshots, present_first=True).filter("state = 'present' AND bytes IS NOT NULL").select("repo_id", "path", F.col("bytes").alias("__file"))
+    named = F.when((F.col("byte_start") >= 0) & (F.col("byte_end") > F.col("byte_start")), F.substr("__file", F.col("byte_start") + 1, F.col("byte_end") - F.col("byte_start")))
+    text = F.col("__file").cast("string")
     upto = F.call_function("substring_index", text, F.lit("\n"), F.col("line_end")).cast("binary")
     before = F.when(F.col("line_start") > 1, F.octet_length(F.call_function("substring_index", text, F.lit("\n"), F.col("line_start") - 1)) + 1).otherwise(0)
     lines = F.when((F.col("line_start") >= 1) & (F.col("line_end") >= F.col("line_start")), F.btrim(F.substr(upto, before + 1).cast("string"), F.lit(" \t\r\n\f\x0b")).cast("binary"))
-    right = lambda b: F.when(F.sha2(b, 256) == F.col("want"), b)
-    body = F.when(F.col("kind") == "module", right(F.col("bytes"))).otherwise(F.coalesce(right(named), right(lines)))
-    return s.join(files, ["repo_id", "path"]).select("repo_id", "symbol_id", body.alias("body")).filter("body IS NOT NULL").distinct()
+    hashed = "content_hash" in symbols.columns
+    right = lambda b: F.when(F.sha2(b, 256) == F.lower("content_hash"), b) if hashed else b
+    body = F.when(F.col("kind") == "module", right(F.col("__file"))).otherwise(F.coalesce(right(named), right(lines)))
+    return symbols.join(files, ["repo_id", "path"]).withColumn("body", body).drop("__file")
+
+
+def verified_texts(symbols: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """(repo_id, symbol_id, body) of the symbols whose text the current files still hold (see ``with_bodies``)."""
+    needed = ["repo_id", "symbol_id", "path", "kind", "line_start", "line_end", "byte_start", "byte_end", "content_hash"]
+    rows = symbols.select(*[c for c in needed if c in symbols.columns]).distinct()
+    return with_bodies(rows, snapshots).filter("body IS NOT NULL").select("repo_id", "symbol_id", "body").distinct()

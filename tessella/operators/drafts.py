@@ -15,6 +15,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from tessella.functions.text import model_family
 from tessella.operators.claims import LABELS, word
 from tessella.plans.scratch import Scratch
+from tessella.plans.ship import ship
 
 # Places on a menu and the largest neighbour on it.
 MENU, NEIGHBOUR_BYTES = 12, 4_000
@@ -69,6 +70,7 @@ def asked(rows: DataFrame, prompt_col: str, model: Callable[[list[str]], list[st
             if len(b):
                 yield b.assign(answer=list(model(b[prompt_col].to_list())))
 
+    ship(rows.sparkSession)
     return rows.mapInPandas(run, StructType([*rows.schema.fields, StructField("answer", StringType())]))
 
 

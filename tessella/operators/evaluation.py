@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tessella.operators import bootstrap
 from tessella.operators.stats import Z95, ranking_metrics
+from tessella.plans.ship import ship
 
 METRICS = ("recall", "hit", "ndcg", "ap", "rr")
 
@@ -195,6 +196,7 @@ def clopper_pearson(counts: DataFrame, alpha: float = 0.05) -> DataFrame:
             b["upper"] = [round(_upper(int(f), int(n), alpha), 9) for f, n in zip(b["failures"], b["n"])]
             yield b
 
+    ship(counts.sparkSession)
     return counts.select("key", "failures", "n").mapInPandas(run, counts.select("key", "failures", "n").schema.add("upper", "double"))
 
 

@@ -28,6 +28,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tessella.plans.ship import ship
+
 # The container fields, by their name without case and joining signs, and the kind
 # of node each holds.
 CONTAINERS = {"mcpservers": "mcp_server", "plugins": "plugin", "tools": "tool", "agents": "agent"}
@@ -231,6 +233,7 @@ def record_nodes(records: DataFrame, id_col: str = "record_id", payload_col: str
             cols = list(zip(*rows)) if rows else [[] for _ in _ARROW]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ARROW)], schema=_ARROW)
 
+    ship(records.sparkSession)
     given = records.select(F.col(id_col).cast("long").alias("record_id"), F.col(payload_col).cast("string").alias("payload"))
     return given.filter(F.col("payload").isNotNull()).mapInArrow(walk, NODE_SCHEMA)
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tessella.functions.text import query_terms, tokens
 from tessella.plans.scratch import Scratch
+from tessella.plans.ship import ship
 
 # Constants of BM25, of rank fusion and of spreading activation.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -74,6 +75,8 @@ def exact_knn(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int =
     is sampled or pruned, so recall is 1.  Null vectors match nothing.
     """
 
+    ship(vectors.sparkSession)
+
     def packed(df: DataFrame, key: str, name: str) -> DataFrame:
         df = df.filter(F.col("v").isNotNull())
         n = max(1, math.ceil(df.count() / block))
@@ -231,6 +234,7 @@ def embed_missing(texts: DataFrame, known: DataFrame, embed, model: str) -> Data
     ``embed`` takes a list of texts and gives their vectors; it is called with at most 32 texts of
     16,000 characters together (one longer text alone).  Copies are embedded once; null texts not at all.
     """
+    ship(texts.sparkSession)
     hashed = texts.filter(F.col("text").isNotNull()).select(F.sha2("text", 256).alias("text_hash"), "text").dropDuplicates(["text_hash"])
     new = hashed.join(known.filter(F.col("model") == model).select("text_hash").distinct(), "text_hash", "left_anti")
 

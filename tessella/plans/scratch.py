@@ -13,6 +13,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessella.plans.ship import ship
+
 
 def shared_root(spark: SparkSession) -> str:
     """Folder shared by all executors; a temporary one is set only where none is configured."""
@@ -26,14 +28,25 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_OPEN: list[Scratch] = []
+
+
+@atexit.register
+def sweep() -> None:
+    """Delete the tables of all queries so far: at exit, or in a long session once their results are written."""
+    while _OPEN:
+        _OPEN.pop().close()
+
+
 class Scratch:
     """Written tables of one query, under one folder of the shared root."""
 
     def __init__(self, spark: SparkSession):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_root(spark)}/tessella/{uuid.uuid4().hex}"
         self._n = 0
-        atexit.register(self.close)
+        _OPEN.append(self)
 
     def cut(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and return a scan of what was written."""

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tessella.plans.merge import write_json_atomically
+
 GOLD = "queries array<struct<query_id string, query string, relevant array<string>, source string, repo string, notes string>>"
 RUN = "run_id string, task_id string, arm string, repo string, rep int, ok boolean, n_tool_calls int, total_tokens long, total_cost_usd double, wall_s double, tool_call_counts map<string,int>"
 
@@ -37,3 +39,35 @@ def fold_transcript(lines: DataFrame) -> DataFrame:
         F.count(F.when(F.col("m.type") == "assistant", 1)).alias("answers"), F.sum(F.greatest(tools, F.lit(0))).alias("tool_calls"),
         F.sum(F.coalesce("m.message.usage.input_tokens", F.lit(0))).alias("input_tokens"), F.sum(F.coalesce("m.message.usage.output_tokens", F.lit(0))).alias("output_tokens"),
     )
+
+
+def write_gold(gold: DataFrame, path: str) -> None:
+    """A gold file that ``read_gold`` takes; a query set is small by its nature (one file)."""
+    names = ["query_id", "query", "relevant", "source", "repo", "notes"]
+    rows = [r.asDict() for r in gold.select(*names).orderBy("query_id").toLocalIterator()]
+    write_json_atomically(path, {"queries": rows})
+
+
+def review_sample(judged: DataFrame, n: int, seed: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(sheet, key): a blind sample for a human and the labels it is scored against.
+
+    judged: assertion_id, subject, claim, citations, evidence, label.  The sheet has no label; the sample
+    goes round the labels, so that rare ones are in it.
+    """
+    from tessella.operators.evaluation import stratified_sample
+
+    chosen = stratified_sample(judged.select(F.col("assertion_id").alias("id"), F.col("label").alias("stratum")), n, seed).select(F.col("id").alias("assertion_id"))
+    rows = judged.join(chosen, "assertion_id", "left_semi").dropDuplicates(["assertion_id"])
+    sheet = rows.select("assertion_id", "subject", "claim", "citations", "evidence", F.lit("").alias("human"))
+    return sheet, rows.select("assertion_id", "label")
+
+
+def review_scores(sheet: DataFrame, key: DataFrame) -> DataFrame:
+    """(n, unanswered, agreement, precision, recall, kappa) of a filled sheet against its key."""
+    from tessella.operators.claims import word
+    from tessella.operators.evaluation import calibration, judge_pairs
+
+    filled = sheet.select("assertion_id", word("human").alias("human")).join(key, "assertion_id")
+    answers = filled.filter("human IS NOT NULL").select(F.col("assertion_id").alias("item"), F.explode(F.array(F.struct(F.lit("a_human").alias("judge"), F.col("human").alias("label")), F.struct(F.lit("b_judge").alias("judge"), word("label").alias("label")))).alias("x")).select("item", "x.*")
+    c = calibration(judge_pairs(answers)).select("n", "agreement", "precision", "recall", "kappa")
+    return filled.agg(F.count(F.when(F.col("human").isNull(), 1)).alias("unanswered")).join(c, F.lit(True), "left").select("n", "unanswered", "agreement", "precision", "recall", "kappa")

@@ -124,15 +124,6 @@ def m15_kish(spark, d):
     return stats.kish_correction(v.select(F.col("assertion_id").alias("cluster"), (F.col("verdict") == "supported").cast("double").alias("outcome")))
 
 
-@query(f"""with p as (select a.verdict as a, b.verdict as b from {_LATEST} a join {_LATEST} b on a.assertion_id = b.assertion_id and a.judge = 'ochre_judge' and b.judge = 'pallas_13b'),
- n as (select count(*)::double as n, sum((a = b)::int)::double as same from p), m as (select sum(x * y)::double as xy from (select a as l, count(*) as x from p group by all) join (select b as l, count(*) as y from p group by all) using (l))
- select n::bigint as n, round(same / n, 6) as agreement, round((same / n - xy / (n * n)) / (1 - xy / (n * n)), 6) as kappa from n cross join m""")
-def m19_kappa(spark, d):
-    v = C.latest_verdicts(table(spark, d, "verdicts"))
-    one = lambda j, c: v.filter(F.col("judge") == j).select("assertion_id", F.col("verdict").alias(c))
-    return stats.cohen_kappa(one("ochre_judge", "a").join(one("pallas_13b", "b"), "assertion_id"))
-
-
 @query(f"""with v as (select distinct judge, cause, {_ALIAS} as verdict, assertion_id from adjudications), j as (select {_WORD('judge')} as judge, cause, verdict from v)
  select judge, count(*) as n, sum((cause <> 'judged')::int)::bigint as failures, round(sum((verdict = 'supported' and cause = 'judged')::int)::double / count(*), 6) as faithful,
   round(sum((verdict = 'supported' and cause = 'judged')::int)::double / nullif(sum((verdict in ('supported','refuted') and cause = 'judged')::int), 0), 6) as of_decided from j group by all""")

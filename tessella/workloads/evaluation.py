@@ -182,6 +182,13 @@ def m19_calibration(spark, d):
     return V.calibration(_pairs(spark, d))
 
 
+@query(f"""with {_PAIRS}, g as (select judge_a, judge_b, sum(n)::double as t, sum(n) filter (a = b)::double as same from cf group by all), x as (select judge_a, judge_b, a as l, sum(n) as x from cf group by all), y as (select judge_a, judge_b, b as l, sum(n) as y from cf group by all),
+ c as (select judge_a, judge_b, sum(x * y)::double as xy from x join y using (judge_a, judge_b, l) group by all)
+ select judge_a, judge_b, t::bigint as n, round((coalesce(same, 0) / t - coalesce(xy, 0) / (t * t)) / nullif(1 - coalesce(xy, 0) / (t * t), 0), 6) as kappa from g left join c using (judge_a, judge_b)""")
+def m19_kappa(spark, d):
+    return V.calibration(_pairs(spark, d)).select("judge_a", "judge_b", "n", "kappa")
+
+
 @query()
 def m20_clopper_pearson(spark, d):
     v = table(spark, d, "adjudications").distinct().select(C.word("judge").alias("key"), (F.col("cause") != "judged").cast("long").alias("f"))

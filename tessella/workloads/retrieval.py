@@ -112,7 +112,7 @@ _EDGES = """ed as (select distinct src, dst from (select repo_id || ':' || qualn
  eg as (select src, dst, row_number() over (order by src, dst) as edge_id from ed)"""
 _NB = """nb as (select * from (select *, row_number() over (partition by node, weight order by edge_id) as n from
  (select src as node, dst as other, edge_id, 1.0 as weight from eg union all select dst, src, edge_id, 0.35 from eg)) where n <= 24)"""
-_SEEDS = "seeds as (select tour_id as query_id, repo_id || ':' || qualname as id, min(stop_order) as place from stops where stop_order <= 3 group by all)"
+_SEEDS = "seeds as (select tour_id as query_id, repo_id || ':' || qualname as id, min(stop_order) as place from stops group by all)"
 
 
 def call_edges(spark, d):
@@ -138,7 +138,7 @@ def f4_neighbours(spark, d):
  s as (select query_id, id, round(sum(a), 6) as score from (select * from g1 union all select * from g2) where (query_id, id) not in (select (query_id, id) from seeds) group by all),
  r as (select *, row_number() over (partition by query_id order by score desc, id) as rank from s) select * from r where rank <= 10""")
 def f5_expand(spark, d):
-    seeds = table(spark, d, "stops").filter("stop_order <= 3").groupBy(F.col("tour_id").alias("query_id"), F.concat_ws(":", "repo_id", "qualname").alias("id")).agg(F.min("stop_order").alias("place"))
+    seeds = table(spark, d, "stops").groupBy(F.col("tour_id").alias("query_id"), F.concat_ws(":", "repo_id", "qualname").alias("id")).agg(F.min("stop_order").alias("place"))
     return retrieval.expand(call_edges(spark, d), seeds)
 
 
