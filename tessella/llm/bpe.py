@@ -12,11 +12,14 @@ The vocabulary is a merge list.  Two facts make a left-to-right encoder possible
 
 ``Transducer`` keeps only the positions from the last final token on.  The number of bytes it may
 have to look ahead is bounded by ``MergeList.sufficient_lookahead`` (merges x longest merge, the
-general bound for a proper merge list), and is a few tokens in practice; memory is constant in the
-length of the input.
+general bound for a proper merge list), and is a few tokens in practice.  A window that outgrows the
+bound is an error and never a guess, so memory is constant in the length of the input.
 
-Before the merges the text is split by the vocabulary's public pattern.  Splitting streams over the
-value too; frequent pieces are remembered in a table of bounded size.
+Before the merges the text is split by the pattern that the vocabulary's file names; a file with
+another pre-tokenizer, a normalizer or other options than a plain byte-level merge list is refused.
+Splitting streams over the value too; frequent pieces are remembered in a table of bounded size.
+
+The vocabulary's path is a parameter.  The driver hands the file to executors that lack it.
 
 Defined results: null and empty texts give no ids; blank texts and strings that look like special
 tokens are ordinary text.
@@ -26,14 +29,18 @@ from __future__ import annotations
 
 import codecs
 import json
+import os
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
+from tessella.plans.ship import ship
+
 # Fixed value: the public split pattern of the byte-level vocabularies.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -52,11 +59,33 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(shifted)}
 
 
+def split_pattern(file: dict) -> str:
+    """The pattern by which a ``tokenizers`` file splits texts before merging; ValueError if it needs more than that."""
+    model = file["model"]
+    odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    if model.get("type", "BPE") != "BPE" or odd or file.get("normalizer"):
+        raise ValueError(f"not a plain byte-level merge list: {odd or file.get('normalizer') or model.get('type')}")
+    first = file.get("pre_tokenizer") or {}
+    steps = first.get("pretokenizers", [first])
+    pattern = None
+    for step in steps:
+        if step.get("type") == "ByteLevel" and not step.get("add_prefix_space"):
+            pattern = pattern or (SPLIT if step.get("use_regex", True) else None)
+        elif step.get("type") == "Split" and "Regex" in step.get("pattern", {}) and step.get("behavior") == "Isolated" and pattern is None:
+            pattern = step["pattern"]["Regex"]
+        else:
+            raise ValueError(f"another pre-tokenizer than a split into pieces: {step.get('type')}")
+    if pattern is None:
+        raise ValueError("the vocabulary names no split pattern")
+    return pattern
+
+
 class MergeList:
     """A byte-level merge list: token bytes, ids, merge ranks, and what follows from them."""
 
-    def __init__(self, ids: dict[bytes, int], merges: list[tuple[bytes, bytes]]):
+    def __init__(self, ids: dict[bytes, int], merges: list[tuple[bytes, bytes]], split: str | None = None):
         self.ids = ids
+        self.split = split or SPLIT
         self.bytes_of = {i: b for b, i in ids.items()}
         self.rank: dict[tuple[int, int], int] = {}
         self.made: dict[int, tuple[int, int, int]] = {}  # token -> (left, right, rank)
@@ -79,7 +108,8 @@ class MergeList:
     def load(cls, path: str) -> MergeList:
         """From a ``tokenizers`` JSON file of a byte-level BPE."""
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            file = json.load(f)
+        model, split = file["model"], split_pattern(file)
         alphabet = _byte_alphabet()
         to_bytes = lambda s: bytes(alphabet[c] for c in s)
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
@@ -91,7 +121,7 @@ class MergeList:
                 b = to_bytes(s)
                 if len(b) == 1 or b in parts:
                     ids[b] = i
-        return cls(ids, merges)
+        return cls(ids, merges, split)
 
     def sufficient_lookahead(self) -> int:
         """Bytes after which a token of any text is settled: merges times the longest merge."""
@@ -140,6 +170,7 @@ class Transducer:
         self.last: list[int] = [-1]  # last[i]: the token that ends the first i held bytes
         self.size: list[int] = [0]
         self.before = -1  # the last final token
+        self.bound = merges.sufficient_lookahead() + merges.max_token
         self.peak = 0
 
     def feed(self, data: bytes) -> Iterator[int]:
@@ -150,6 +181,8 @@ class Transducer:
             self.peak = max(self.peak, len(self.tail))
             if len(self.tail) >= WINDOW:
                 yield from self._settle()
+                if len(self.tail) > self.bound:
+                    raise RuntimeError(f"{len(self.tail)} bytes are held, more than the merge list can need ({self.bound})")
 
     def _extend(self) -> None:
         m, tail, last, size = self.m, self.tail, self.last, self.size
@@ -202,9 +235,9 @@ class Transducer:
 class Encoder:
     """Text to ids: split by the public pattern, then one transducer per piece."""
 
-    def __init__(self, merges: MergeList, split: str = SPLIT):
+    def __init__(self, merges: MergeList, split: str | None = None):
         self.merges = merges
-        self.split = regex.compile(split)
+        self.split = regex.compile(split or merges.split)
         self.known: dict[str, tuple[int, ...]] = {}
 
     def piece(self, piece: str) -> tuple[int, ...]:
@@ -248,8 +281,20 @@ class Decoder:
 
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
-    """One encoder per worker process and vocabulary."""
-    return Encoder(MergeList.load(path))
+    """One encoder per worker process and vocabulary; a file that is not at its path here was handed over."""
+    return Encoder(MergeList.load(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))))
+
+
+def hand_over(docs: DataFrame, path: str) -> None:
+    """Give the vocabulary's file, and this package, to the executors; once per application."""
+    sc = docs.sparkSession.sparkContext
+    ship(docs.sparkSession)
+    if (sc.applicationId, path) not in _handed and os.path.exists(path):
+        sc.addFile(path)
+        _handed.add((sc.applicationId, path))
+
+
+_handed: set[tuple[str, str]] = set()
 
 
 def encode_corpus(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -268,6 +313,7 @@ def encode_corpus(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_col:
                 lists = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.array(flat, np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["doc_id", "ids"])
 
+    hand_over(docs, vocabulary)
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return kept.mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -281,6 +327,7 @@ def count_tokens(docs: DataFrame, keys: list[str], vocabulary: str = DEFAULT_VOC
             n = pa.array([enc.count(t.as_py()) for t in b.column(b.num_columns - 1)], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], n], names=[*b.schema.names[:-1], "n_tokens"])
 
+    hand_over(docs, vocabulary)
     given = docs.select(*keys, F.col(text_col).alias("__text"))
     schema = given.drop("__text").schema.add("n_tokens", "long")
     return given.mapInArrow(run, schema)
@@ -300,4 +347,5 @@ def decode_corpus(encoded: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> D
                 texts.append("".join(parts) + d.finish())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
+    hand_over(encoded, vocabulary)
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")

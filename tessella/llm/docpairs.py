@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tessella.operators.code import current_states
+from tessella.plans.ship import ship
 
 _STOP = re.compile(r"""["'#()\[\]{}\n]|\\\n""")
 _HEAD = re.compile(r"(?:async[ \t\\\n]+)?def[ \t\\\n]+([^\W\d]\w*)|class[ \t\\\n]+([^\W\d]\w*)|@")
@@ -375,4 +376,5 @@ def documented_functions(snapshots: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
+    ship(snapshots.sparkSession)
     return current_files(snapshots).mapInArrow(run, PAIR_SCHEMA)

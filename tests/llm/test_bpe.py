@@ -76,3 +76,32 @@ def test_decoder_keeps_split_characters():
     d = Decoder(m)
     assert "".join(d.feed([b]) for b in "é🧭".encode()) + d.finish() == "é🧭"
     assert Encoder(m).encode(None) == []
+
+
+def test_split_pattern_comes_from_the_file():
+    from tessella.llm.bpe import SPLIT, split_pattern
+
+    model = {"type": "BPE", "vocab": {}, "merges": []}
+    level = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    assert split_pattern({"model": model, "pre_tokenizer": level}) == SPLIT
+    own = {"type": "Split", "pattern": {"Regex": "[a-z]+"}, "behavior": "Isolated"}
+    assert split_pattern({"model": model, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [own, level | {"use_regex": False}]}}) == "[a-z]+"
+    for bad in (
+        {"model": model | {"end_of_word_suffix": "</w>"}, "pre_tokenizer": level}, {"model": model, "pre_tokenizer": level, "normalizer": {"type": "Lowercase"}}, {"model": model, "pre_tokenizer": {"type": "Metaspace"}},
+        {"model": model, "pre_tokenizer": level | {"use_regex": False}}, {"model": model, "pre_tokenizer": level | {"add_prefix_space": True}}, {"model": model},
+    ):
+        with pytest.raises(ValueError):
+            split_pattern(bad)
+
+
+def test_a_window_beyond_the_bound_is_an_error():
+    from tessella.llm.bpe import WINDOW, MergeList, Transducer
+
+    ids = {bytes([i]): i for i in range(256)} | {b"ab": 256}
+    t = Transducer(MergeList(ids, [(b"a", b"b")]))
+    assert len(list(t.feed(b"ab" * 5000)) + t.finish()) == 5000 and t.peak <= WINDOW + t.bound
+    t = Transducer(MergeList(ids, [(b"a", b"b")]))
+    t.bound = 0
+    t._settle = lambda: iter(())
+    with pytest.raises(RuntimeError, match="more than the merge list can need"):
+        list(t.feed(b"ab" * 5000))
