@@ -242,7 +242,7 @@ def _resolve(parts: DataFrame, scratch: Scratch) -> DataFrame:
     else:
         state = spark.createDataFrame([], "frag long, ptr long, before long, turns_before long")
 
-    # sessions without links go in order of time, which is the order of fragment ids
+    # sessions without links go in order of time, which is the order of fragment ids; they have one per chunk
     from pyspark.sql import Window as W
 
     past = W.partitionBy("session").orderBy("frag").rowsBetween(W.unboundedPreceding, -1)
@@ -251,10 +251,12 @@ def _resolve(parts: DataFrame, scratch: Scratch) -> DataFrame:
     )
     lone = base.filter("linked AND sound AND frags = 1").select("frag", F.when(F.col("parent").isNotNull(), -1).cast("long").alias("ptr"), F.lit(0).cast("long").alias("before"), F.lit(0).cast("long").alias("turns_before"))
     placed = base.join(state.unionByName(loose).unionByName(lone), "frag", "left")
-    # a user turn that ends a fragment must be answered by the next fragment that has turns
-    ahead = W.partitionBy("session").orderBy("before", "frag").rowsBetween(1, W.unboundedFollowing)
-    answer = F.first(F.when(F.col("turns") > 0, F.col("first_role")), ignorenulls=True).over(ahead)
-    placed = placed.withColumn("open_end", (F.col("turns") > 0) & (F.col("last_role") == USER) & (F.coalesce(answer, F.lit(OTHER)) != ASSISTANT))
+    # a user turn that ends a fragment must be answered by the next fragment that has turns, which is the
+    # one whose first turn has the next number
+    placed = scratch.cut(placed)
+    firsts = placed.filter((F.col("turns") > 0) & F.col("turns_before").isNotNull()).groupBy("session", F.col("turns_before").alias("next_turn")).agg(F.min("first_role").alias("answer"))
+    placed = placed.withColumn("next_turn", F.col("turns_before") + F.col("turns")).join(firsts, ["session", "next_turn"], "left")
+    placed = placed.withColumn("open_end", (F.col("turns") > 0) & (F.col("last_role") == USER) & (F.coalesce("answer", F.lit(OTHER)) != ASSISTANT))
     verdict = placed.groupBy("session").agg(
         F.sum("rows").alias("rows"),
         F.sum("turns").alias("turns"),
