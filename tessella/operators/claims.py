@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tessella.operators.mixed import folded_text
+
 STATUSES = ("active", "rejected", "stale")
 VETOES = ("refuted", "unsupported")
 # Labels of an adjudication and the verdicts they mean.
@@ -93,8 +95,8 @@ def canonical_documents(claims: DataFrame, cited: DataFrame) -> DataFrame:
 
 
 def conflicts(claims: DataFrame) -> DataFrame:
-    """(subject_qualname, kind, n_claims): subjects with several different active claims of a kind."""
-    said = F.regexp_replace(F.lower(F.btrim("claim", F.lit(" \t\r\n"))), r"[ \t\r\n]+", " ")
+    """(subject_qualname, kind, n_claims): subjects with several different active claims of a kind (see ``folded_text``)."""
+    said = folded_text(F.col("claim"))
     g = claims.filter("status = 'active'").select("subject_qualname", "kind", said.alias("s")).distinct().groupBy("subject_qualname", "kind")
     return g.agg(F.count("*").alias("n_claims")).filter("n_claims > 1")
 

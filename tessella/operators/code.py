@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tessella.functions.text import is_test_path, path_escapes
 from tessella.plans.scratch import Scratch
+from tessella.plans.spread import spread
 
 MAX_CHUNK_CHARS = 24_000
 TRUNCATED = "\n# ... [truncated: symbol exceeds MAX_CHUNK_CHARS]"
@@ -36,9 +37,7 @@ def _picked(snapshots: DataFrame, order: list) -> DataFrame:
     won = Scratch(snapshots.sparkSession).cut(won.select(F.col("repo_id").alias("__won_repo"), F.col("path").alias("__won_path"), F.col("o.at").alias("__won_place")))
     joined = located.join(won, F.col("repo_id").eqNullSafe(F.col("__won_repo")) & (F.col("path") == F.col("__won_path")), "left")
     out = joined.filter(F.col("__won_place").isNull() | (F.col("__won_place") == F.col("__row_place"))).select(*snapshots.columns)
-    cores = snapshots.sparkSession.sparkContext.defaultParallelism
-    # a small table may be one split; what is done with contents is worth more tasks
-    return out.repartition(cores) if "bytes" in snapshots.columns and snapshots.rdd.getNumPartitions() < cores else out
+    return spread(out) if "bytes" in snapshots.columns else out
 
 
 def _last(c) -> list:
@@ -156,7 +155,7 @@ def admission(submissions: DataFrame, subjects: DataFrame, snapshots: DataFrame)
     bad_bytes = ~F.coalesce((F.col("byte_start") >= 0) & (F.col("byte_end") > F.col("byte_start")), F.lit(False))
     bad_lines = ~F.coalesce((F.col("line_start") >= 1) & (F.col("line_end") >= F.col("line_start")), F.lit(False))
     code = (
-        F.when(F.length(F.trim("claim")) == 0, "empty_claim")
+        F.when(F.coalesce(F.trim("claim"), F.lit("")) == "", "empty_claim")
         .when(bad_bytes | bad_lines, "invalid_span")
         .when(path_escapes(F.col("path")), "span_escapes_repo")
         .when(F.coalesce(F.trim("content_hash"), F.lit("")) == "", "evidence_unverifiable")

@@ -22,7 +22,7 @@ from tessella.plans.scratch import Scratch
 
 _ROW = (
     "part string, repo_id string, path string, ord int, kind string, name string, qualname string, parent_qualname string, module string, owner_class string,"
-    " line_start int, line_end int, byte_start int, byte_end int, content_hash string, docstring string, signature string, dst_name string, local_name string"
+    " line_start int, line_end int, byte_start int, byte_end int, body_byte_start int, content_hash string, docstring string, signature string, dst_name string, local_name string"
 )
 # How much each way of resolving a name is trusted.
 CONFIDENCE = {"exact": 1.0, "self": 0.95, "module_local": 0.90, "self_inherited": 0.85, "import_alias": 0.85, "class_attr": 0.85, "unique": 0.75}
@@ -47,10 +47,10 @@ class _File:
     def at(self, line: int, col: int) -> int:
         return min(len(self.data), self.starts[min(line, len(self.starts)) - 1] + col)
 
-    def symbol(self, kind, name, qualname, parent, owner, lines, span, doc=None, signature=None):
+    def symbol(self, kind, name, qualname, parent, owner, lines, span, doc=None, signature=None, body=None):
         self.rows.append(
             {"part": "symbol", "kind": kind, "name": name, "qualname": qualname, "parent_qualname": parent, "module": self.module, "owner_class": owner, "line_start": lines[0], "line_end": lines[1]}
-            | {"byte_start": span[0], "byte_end": span[1], "content_hash": hashlib.sha256(self.data[span[0] : span[1]]).hexdigest(), "docstring": doc, "signature": signature}
+            | {"byte_start": span[0], "byte_end": span[1], "content_hash": hashlib.sha256(self.data[span[0] : span[1]]).hexdigest(), "docstring": doc, "signature": signature, "body_byte_start": span[0] if body is None else body}
         )
 
     def edge(self, scope, kind, dst, line, local=None):
@@ -93,6 +93,14 @@ class _File:
     def _source(self, node) -> str:
         return self.data[self.at(node.lineno, node.col_offset) : self.at(node.end_lineno, node.end_col_offset)].decode("utf-8", "replace")
 
+    def _signature(self, node) -> str:
+        """Name, parameters and result as they are written, with blanks squeezed and comments left out."""
+        start = self.at(node.lineno, node.col_offset)
+        first = node.body[0]
+        decorators = getattr(first, "decorator_list", None)
+        stop = self.at(decorators[0].lineno, decorators[0].col_offset) if decorators else self.at(first.lineno, first.col_offset)
+        return recover.written_signature(self.data[start:stop].decode("utf-8", "replace"))
+
     def _definition(self, node, scope):
         qualname = f"{scope[0]}.{node.name}"
         is_class = isinstance(node, ast.ClassDef)
@@ -104,8 +112,8 @@ class _File:
             line = self.data.count(b"\n", 0, start) + 1
         signature = None
         if not is_class:
-            signature = f"{node.name}({ast.unparse(node.args)})" + (f" -> {ast.unparse(node.returns)}" if node.returns else "")
-        self.symbol(kind, node.name, qualname, scope[0], scope[0] if scope[1] == "class" else scope[2], (line, node.end_lineno), (start, self.at(node.end_lineno, node.end_col_offset)), _doc(node), signature)
+            signature = self._signature(node)
+        self.symbol(kind, node.name, qualname, scope[0], scope[0] if scope[1] == "class" else scope[2], (line, node.end_lineno), (start, self.at(node.end_lineno, node.end_col_offset)), _doc(node), signature, self.at(node.lineno, node.col_offset))
         if is_class:
             for b in node.bases:
                 self.edge((qualname, "class", None), "inherits", self._source(b), b.lineno)
@@ -142,7 +150,7 @@ class _File:
             owner = scope[0] if scope[1] == "class" else scope[2]
             line, start = decorators or (st.line, st.start)
             decorators = None
-            self.symbol(kind, name, qualname, scope[0], owner, (line, st.last_line), (start, st.code_end), st.inline_docstring(), None if is_class else st.signature(name))
+            self.symbol(kind, name, qualname, scope[0], owner, (line, st.last_line), (start, st.code_end), st.inline_docstring(), None if is_class else st.signature(name), st.start)
             for _, _, row in scopes[1:]:
                 row["line_end"], row["byte_end"] = st.last_line, st.code_end
             inner = (qualname, kind, qualname if is_class else owner)

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessella.functions.text import squeezed
+from tessella.plans.scratch import Scratch
+from tessella.plans.spread import spread
 
 WINDOW = 32
+#: Tasks over which the texts with one probe are spread.
+SALTS = 8
 
 
 def text_classes(texts: DataFrame, key: str) -> DataFrame:
@@ -24,24 +28,35 @@ def shared_windows(secrets: DataFrame, texts: DataFrame, window: int = WINDOW) -
     three quarters of a window long: any shared window holds a whole probe.  Secrets give probes at
     every position.  The characters around a match decide whether it grows to a window.  Null and
     shorter texts match nothing.
+
+    A passage that stands in very many texts is one hot probe.  What stands around it is grouped first,
+    on both sides: one row for all texts with the same surroundings, so the comparison is made once per
+    pair of surroundings and not of texts; and the texts' side is salted, so that one probe's rows are
+    many tasks'.
     """
+    scratch = Scratch(texts.sparkSession)
     step = window // 4
     size = window - step + 1
     side = step - 1
 
     def probes(df: DataFrame, key: str, every: int) -> DataFrame:
-        t = df.select(F.col(key), squeezed(F.col("text")).alias("t")).filter(F.length("t") >= window).groupBy("t").agg(F.min(key).alias(key))
+        t = spread(df.select(F.col(key), "text")).select(F.col(key), squeezed(F.col("text")).alias("t")).filter(F.length("t") >= window).groupBy("t").agg(F.min(key).alias(key))
         at = t.select(key, "t", F.explode(F.sequence(F.lit(1), F.length("t") - size + 1, F.lit(every))).alias("p"))
         left = F.substr("t", F.greatest(F.lit(1), F.col("p") - side), F.least(F.lit(side), F.col("p") - 1))
         return at.select(key, F.substr("t", F.col("p"), F.lit(size)).alias("gram"), left.alias("left"), F.substr("t", F.col("p") + size, F.lit(side)).alias("right"))
 
-    s = probes(secrets, "secret_id", 1).select("secret_id", "gram", F.col("left").alias("l1"), F.col("right").alias("r1")).distinct()
-    x = probes(texts, "text_id", step).select("text_id", "gram", F.col("left").alias("l2"), F.col("right").alias("r2")).distinct()
+    salt = F.pmod(F.xxhash64("l2", "r2"), F.lit(SALTS)).alias("salt")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
+    asked = scratch.cut(probes(secrets, "secret_id", 1).select("secret_id", "gram", F.col("left").alias("l1"), F.col("right").alias("r1")).distinct())
+    held = probes(texts, "text_id", step).join(asked.select("gram").distinct(), "gram", "left_semi").select("text_id", "gram", F.col("left").alias("l2"), F.col("right").alias("r2")).distinct()
+    held = scratch.cut(held)
+    s = asked.select("gram", "l1", "r1").distinct().select("*", every)
+    x = held.select("gram", "l2", "r2").distinct().select("*", salt)
 
     def grows(i: Column) -> Column:
         j = F.lit(side) - i
         same_left = (F.length("l1") >= i) & (F.length("l2") >= i) & (F.right("l1", i) == F.right("l2", i))
         return same_left & (F.length("r1") >= j) & (F.length("r2") >= j) & (F.left("r1", j) == F.left("r2", j))
 
-    joined = s.join(x, "gram").filter(F.exists(F.sequence(F.lit(0), F.lit(side)), grows))
-    return joined.select("secret_id", "text_id").distinct()
+    same = scratch.cut(s.join(x, ["gram", "salt"]).filter(F.exists(F.sequence(F.lit(0), F.lit(side)), grows)).select("gram", "l1", "r1", "l2", "r2"))
+    return same.join(asked, ["gram", "l1", "r1"]).select("secret_id", "gram", "l2", "r2").distinct().join(held, ["gram", "l2", "r2"]).select("secret_id", "text_id").distinct()

@@ -44,6 +44,22 @@ _FAILS = (SyntaxError, ValueError, RecursionError, MemoryError)
 _AS = rf"(?:[ \t]+as[ \t]+({_NAME}))?"
 
 
+_TOKEN = re.compile(r"""(?:[rRbBuUfF]{0,2})(?:\"\"\"(?:[^\\]|\\.)*?\"\"\"|\'\'\'(?:[^\\]|\\.)*?\'\'\'|\"(?:[^\"\\\n]|\\.)*\"|\'(?:[^\'\\\n]|\\.)*\')|\#[^\n]*|\\\n|[\s]+|[()\[\]{}:]|[^\s()\[\]{}:"'\#\\]+|.""", re.S)
+
+
+def written_signature(header: str) -> str:
+    """``name(parameters) -> result`` of a definition's source up to its first statement."""
+    out, depth = [], 0
+    body = re.sub(r"\A\s*(?:async\s+)?def\s+", "", header)
+    for t in _TOKEN.findall(body):
+        if t == ":" and depth == 0:
+            break
+        depth += (t in ("(", "[", "{")) - (t in (")", "]", "}"))
+        out.append(" " if t.isspace() or t == "\\\n" else "" if t.startswith("#") else t)
+    s = re.sub(r"\A(\w+) (?=[(\[])", r"\1", re.sub(r" +", " ", "".join(out)).strip())
+    return re.sub(r",? ?\)(?=$| ->)", ")", s.replace("( ", "("))
+
+
 class Statement:
     """A logical line that holds code."""
 
@@ -128,15 +144,7 @@ class Statement:
         return self.colon() + 1 < len(self.code)
 
     def signature(self, name: str) -> str:
-        node = self._definition()
-        if node is not None:
-            return f"{node.name}({ast.unparse(node.args)})" + (f" -> {ast.unparse(node.returns)}" if node.returns else "")
-        at = self.start + _HEAD.match(self.code).end()
-        out, stop = "", self.start + self.colon()
-        for a, b in [c for c in self.comments if c[0] < stop]:
-            out, at = out + self.source(at, a), b
-        text = re.sub(r"\s+", " ", (out + self.source(at, stop)).replace("\\\n", " ")).strip()
-        return name + re.sub(r",? \)", ")", text).replace("( ", "(")
+        return written_signature(self.source(self.start, self.start + self.colon() + 1))
 
     def docstring(self) -> str | None:
         """The string that the statement is, if it is one."""

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from tessella.functions.text import query_terms, tokens
 from tessella.plans.scratch import Scratch
 from tessella.plans.ship import ship
+from tessella.plans.spread import spread
 
 # Constants of BM25, of rank fusion and of spreading activation.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -44,7 +45,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     unit = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "token"))), lambda r: r["token"]), " ")
     asked = said.groupBy("query_id", "term").agg(unit.alias("unit")).groupBy("query_id", "unit").agg(F.count("*").alias("times"))
     units = asked.select("unit").distinct().withColumn("ts", F.split("unit", " ")).select("unit", F.size("ts").alias("n"), F.posexplode("ts").alias("i", "token"))
-    words = docs.filter(F.col("text").isNotNull()).select("doc_id", tokens(F.col("text")).alias("ts"))
+    words = spread(docs.filter(F.col("text").isNotNull()).select("doc_id", "text")).select("doc_id", tokens(F.col("text")).alias("ts"))
     stats = words.agg(F.count("*").alias("n_docs"), F.avg(F.size("ts")).alias("avg_len"))
     postings = words.select("doc_id", F.size("ts").alias("len"), F.posexplode("ts").alias("pos", "token"))
     at = postings.join(units, "token")

@@ -194,3 +194,22 @@ def d4_resolution_rates(spark, d):
 @query()
 def d2_by_resolver(spark, d):
     return e10_resolved_edges(spark, d).groupBy("resolver").agg(F.count("*").alias("n"), F.avg("confidence").alias("confidence"))
+
+
+@query()
+def e3_body_offsets(spark, d):
+    """Decorated definitions, with where the definition itself begins."""
+    from tessella.operators.extract import extract_graph
+
+    return extract_graph(table(spark, d, "snapshots"))[0].filter("body_byte_start > byte_start").select("repo_id", "qualname", "byte_start", "body_byte_start", "byte_end")
+
+
+@query()
+def narrowed_p11(spark, d):
+    """Citations that leave out the decorators of the symbol they end with."""
+    from tessella.operators import serving
+    from tessella.operators.extract import extract_graph
+
+    symbols = extract_graph(table(spark, d, "snapshots"))[0].filter("body_byte_start > byte_start").withColumn("symbol_id", F.xxhash64("repo_id", "qualname"))
+    cited = symbols.select(F.col("symbol_id").alias("assertion_id"), "repo_id", F.col("symbol_id").alias("span_id"), "path", F.col("body_byte_start").alias("byte_start"), "byte_end")
+    return serving.narrowed_citations(cited, symbols)

@@ -7,7 +7,7 @@ from tessella.plans.catalog import query, table
 from tessella.workloads import hybrid as H, mining as M, more
 from tessella.workloads.claims import _CITED, _LATEST, _WORD
 from tessella.workloads.code import _PRESENT, _SYM, _TEXTS
-from tessella.workloads.more import _boot
+from tessella.workloads.more import _boot, _boot_by
 
 _GOLD = "(select distinct tour_id as query_id, symbol_id as id from stops where tour_id % 20 = 0 and topic is not null)"
 _RESULTS = f"""{H._POOL10}, fs as (select query_id, id, round(sum(1.0 / (60 + rank)), 9) as s from ld group by all), fl as (select query_id, id, row_number() over (partition by query_id order by s desc, id) as rank from fs),
@@ -50,7 +50,8 @@ def m12_ablation(spark, d):
     return V.ablation(_cards(spark, d))
 
 
-@query()
+@query(f"""with {_RESULTS}, {_boot_by("select a.config as grp, a.query_id as cluster, a.ndcg - b.ndcg as value from sc a join sc b on b.query_id = a.query_id and b.config = 'lexical' where a.config <> 'lexical'")}
+ select grp as config, n, round(delta, 6) as delta, round(low, 6) as low, round(high, 6) as high, round(low, 6) > 0 or round(high, 6) < 0 as differs, n < 128 as few from bo join (select grp, count(*) as n, avg(value) as delta from bv group by grp) using (grp)""")
 def m13_delta_report(spark, d):
     return V.delta_report(_cards(spark, d), "lexical")
 
@@ -85,7 +86,7 @@ def m25_derangement_null(spark, d):
 _LIFT = f"select cluster, {_F1(b='b')} as value from (select cluster, {_TOKD('x')} as a, {_TOKD('y')} as b from {_ITEMS})"
 
 
-@query(f"""with bt as ({_boot(_LIFT).replace('range(200)', 'range(2000)')}), m as (select avg(value) as mean, count(distinct cluster) as k from ({_LIFT}))
+@query(f"""with bt as ({_boot(_LIFT, 2000)}), m as (select avg(value) as mean, count(distinct cluster) as k from ({_LIFT}))
  select round(mean, 6) as mean, round(case when k < 2 then mean else min(value) end, 6) as low, round(case when k < 2 then mean else max(value) end, 6) as high from m cross join bt group by mean, k""")
 def m26_clustered_lift(spark, d):
     a = table(spark, d, "assertions").filter("claim IS NOT NULL").groupBy("assertion_id").agg(F.min("kind").alias("cluster"), F.min("claim").alias("a"), F.min("subject_qualname").alias("b"))
@@ -105,7 +106,8 @@ def m27_purpose_scores(spark, d):
     return s.select("symbol_id", F.md5(F.col("summary").cast("binary")).alias("summary"), F.round(mining.token_f1(hide("summary"), hide("docstring")), 6).alias("f1"))
 
 
-@query()
+@query(f"""with mm as (select user_id as task, event_type as arm, avg(value) as m from events where value > 0 group by all), {_boot_by("select a.arm as grp, a.task as cluster, ln(a.m / b.m) as value from mm a join mm b on b.task = a.task and b.arm = 'click' where a.arm <> 'click'")}
+ select grp as arm, tasks, round(exp(v), 4) as ratio, round(exp(low), 4) as low, round(exp(high), 4) as high from bo join (select grp, count(*) as tasks, avg(value) as v from bv group by grp) using (grp)""")
 def m29_log_ratios(spark, d):
     """Arms are event types, tasks are users."""
     return V.log_ratio(table(spark, d, "events").select(F.col("user_id").alias("task"), F.col("event_type").alias("arm"), "value"), "click")

@@ -70,13 +70,21 @@ def f17_attached_claims(spark, d):
     return mixed.attached_claims(pool, active)
 
 
-def _boot(values: str) -> str:
+def _boot(values: str, resamples: int = 200) -> str:
     return f"""with v as ({values}), c as (select *, row_number() over (order by cluster) - 1 as pick from (select cluster, sum(value) as s, count(value) as m from v group by cluster)), n as (select count(*) as n from c),
- dr as (select b, i, ('0x' || substr(md5('20-' || b || '-' || i), 1, 8))::bigint % n as pick from range(200) t(b), range((select n from n)) u(i), n),
+ dr as (select b, i, ('0x' || substr(md5('20-' || b || '-' || i), 1, 8))::bigint % n as pick from range({resamples}) t(b), range((select n from n)) u(i), n),
  r as (select b, round(sum(s) / sum(m), 9) as value from dr join c using (pick) group by b), o as (select value, row_number() over (order by value) - 1 as i, count(*) over () as k from r)
  select p, value from o, (values (0.025::double), (0.975::double)) t(p) where i = least(k - 1, floor(p * k))"""
 
 
+def _boot_by(values: str, resamples: int = 2000) -> str:
+    """CTEs that end in bo(grp, low, high): the bootstrap interval of each group of (grp, cluster, value)."""
+    return f"""bv as ({values}), bc as (select *, row_number() over (partition by grp order by cluster) - 1 as pick from (select grp, cluster, sum(value) as s, count(value) as m from bv group by grp, cluster)), bn as (select grp, count(*) as n from bc group by grp),
+ bd as (select grp, b, i, ('0x' || substr(md5('20-' || b || '-' || i), 1, 8))::bigint % n as pick from bn cross join range({resamples}) t(b) cross join range((select max(n) from bn)) u(i) where i < n),
+ br as (select grp, b, round(sum(s) / sum(m), 9) as value from bd join bc using (grp, pick) group by all), bq as (select grp, value, row_number() over (partition by grp order by value) - 1 as i, count(*) over (partition by grp) as k from br),
+ bo as (select grp, min(value) filter (i = least(k - 1, floor(0.025 * k))) as low, max(value) filter (i = least(k - 1, floor(0.975 * k))) as high from bq group by grp)"""
+
+
 def _ndcg_by_label(spark, d):
     return retrieval_queries.m1_m4_ranking_metrics(spark, d).select(F.col("label").alias("cluster"), F.col("ndcg").alias("value"))
 
@@ -91,7 +99,7 @@ def m7_m8_cluster_bootstrap(spark, d):
     return bootstrap.interval(_ndcg_by_label(spark, d), resamples=200)
 
 
-@query()
+@query(_boot("select label as cluster, ndcg as value from (" + retrieval_queries._sql_metrics() + ")", 2000))
 def m7_m8_cluster_bootstrap_2000(spark, d):
     return bootstrap.interval(_ndcg_by_label(spark, d))
 
@@ -102,7 +110,7 @@ def m9_paired_delta(spark, d):
     return bootstrap.interval(_deltas(spark, d), resamples=200)
 
 
-@query()
+@query(_boot("select query_id as cluster, ndcg - recall as value from (" + retrieval_queries._sql_metrics() + ")", 2000))
 def m9_paired_delta_2000(spark, d):
     return bootstrap.interval(_deltas(spark, d))
 

@@ -52,7 +52,7 @@ def test_broken_file_keeps_bodies_and_edges():
     assert text("p.a.after") == b"def after(a, (b, c)): return ours()" and text("p.a.open_bracket").endswith(b"return two()")
     m = symbols["p.a.C.m"]
     assert (m["kind"], m["line_start"], m["line_end"], m["docstring"], m["owner_class"]) == ("method", 9, 19, "Doc of m.", "p.a.C")
-    assert m["signature"] == "m(self, x=free(), *, k: int=3) -> str" and symbols["p.a.after"]["signature"] == "after(a, (b, c))"
+    assert m["signature"] == "m(self, x=free(), *, k: int = 3) -> str" and symbols["p.a.after"]["signature"] == "after(a, (b, c))"
     assert symbols["p.a"]["docstring"] == "Moduleé." and symbols["p.a.C"]["docstring"] == "Doc of C."
     for s in symbols.values():
         assert s["content_hash"] == hashlib.sha256(BROKEN[s["byte_start"] : s["byte_end"]]).hexdigest()
