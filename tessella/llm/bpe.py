@@ -40,6 +40,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
 from tessella.plans.ship import ship
+from tessella.plans.spread import spread
 
 # Fixed value: the public split pattern of the byte-level vocabularies.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -315,7 +316,7 @@ def encode_corpus(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_col:
 
     hand_over(docs, vocabulary)
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return kept.mapInArrow(run, "doc_id long, ids array<int>")
+    return spread(kept).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def count_tokens(docs: DataFrame, keys: list[str], vocabulary: str = DEFAULT_VOCABULARY, text_col: str = "text") -> DataFrame:
@@ -330,7 +331,7 @@ def count_tokens(docs: DataFrame, keys: list[str], vocabulary: str = DEFAULT_VOC
     hand_over(docs, vocabulary)
     given = docs.select(*keys, F.col(text_col).alias("__text"))
     schema = given.drop("__text").schema.add("n_tokens", "long")
-    return given.mapInArrow(run, schema)
+    return spread(given).mapInArrow(run, schema)
 
 
 def decode_corpus(encoded: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:

@@ -44,6 +44,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tessella.llm.docpairs import _CLOSERS, _STOP
 from tessella.plans.scratch import Scratch
+from tessella.plans.spread import spread
 
 #: Salts of a look-up: a hot word or frame is spread over so many tasks.
 SALTS = 8
@@ -396,7 +397,7 @@ def truncation_scores(docs: DataFrame, scratch: Scratch | None = None) -> tuple[
     given = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), "source", F.col("n_chars").cast("long").alias("n_chars"), "text", F.xxhash64("text").alias("digest")
     ).filter(F.length("text") > 0)
-    seen = scratch.cut(given.mapInArrow(_features, FEATURE_SCHEMA))
+    seen = scratch.cut(spread(given).mapInArrow(_features, FEATURE_SCHEMA))
     ends = seen.filter(F.col("kind") == DOC).drop("kind", "a", "b").dropDuplicates(["doc_id", "digest"])
     limits = scratch.cut(length_limits(ends))
 
