@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tessella.operators import bootstrap
 from tessella.operators.stats import Z95, ranking_metrics
+from tessella.plans.order import running
 from tessella.plans.ship import ship
 
 METRICS = ("recall", "hit", "ndcg", "ap", "rr")
@@ -108,7 +109,7 @@ def arm_orders(blocks: DataFrame, arms: list[str], seed: int = 20) -> DataFrame:
 def stratified_sample(items: DataFrame, n: int, seed: int = 20) -> DataFrame:
     """(id, stratum) of ``n`` items taken in turn from the strata, each in an order by hash."""
     within = W.partitionBy("stratum").orderBy(F.md5(F.concat_ws("-", F.lit(seed), "id").cast("binary")), "id")
-    return items.select("id", "stratum").distinct().withColumn("turn", F.row_number().over(within)).orderBy("turn", "stratum").limit(n).select("id", "stratum")
+    return items.select("id", "stratum").distinct().withColumn("turn", F.row_number().over(within)).filter(F.col("turn") <= n).orderBy("turn", "stratum").limit(n).select("id", "stratum")
 
 
 def instrument_abort(answers: DataFrame, least: int = 10, share: float = 0.2) -> DataFrame:
@@ -116,8 +117,8 @@ def instrument_abort(answers: DataFrame, least: int = 10, share: float = 0.2) ->
 
     answers: judge, place (a total order per judge), failed (boolean).
     """
-    run = W.partitionBy("judge").orderBy("place").rowsBetween(W.unboundedPreceding, 0)
-    rows = answers.withColumn("n", F.count("*").over(run)).withColumn("failures", F.sum(F.col("failed").cast("int")).over(run))
+    some = answers.select("judge", "place", F.lit(1).alias("one"), F.col("failed").cast("int").alias("bad")).filter(F.col("judge").isNotNull())
+    rows = running(some, ["judge"], ["place"], {"n": "one", "failures": "bad"})
     stop = rows.filter((F.col("n") >= least) & (F.col("failures") > share * F.col("n")))
     return stop.groupBy("judge").agg(F.min(F.struct("n", "failures")).alias("s")).select("judge", "s.n", "s.failures")
 

@@ -40,3 +40,14 @@ def at_ranks(values: DataFrame, wanted: DataFrame) -> DataFrame:
     rows = parts.join(asked.select("group", "__part").distinct(), ["group", "__part"], "left_semi").withColumn("run", run)
     hit = rows.join(asked.select("group", "__part", "tag", "at", "before"), ["group", "__part"])
     return hit.filter((F.col("before") + F.col("run") > F.col("at")) & (F.col("before") + F.col("run") - F.col("c") <= F.col("at"))).select("group", "tag", "value")
+
+
+def running(df: DataFrame, groups: list[str], keys: list[str], sums: dict[str, str]) -> DataFrame:
+    """Adds running sums within groups in the order of ``keys``: new name -> column summed up to and with the row."""
+    parts = in_parts(df, [*groups, *keys], Scratch(df.sparkSession))
+    totals = parts.groupBy(*groups, "__part").agg(*(F.sum(c).alias(f"__t_{n}") for n, c in sums.items()))
+    earlier = W.partitionBy(*groups).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)  # a row per part and group
+    offsets = totals.select(*groups, "__part", *(F.coalesce(F.sum(f"__t_{n}").over(earlier), F.lit(0)).alias(f"__b_{n}") for n in sums))
+    here = W.partitionBy(*groups, "__part").orderBy(*keys).rowsBetween(W.unboundedPreceding, 0)
+    rows = parts.join(offsets, [*groups, "__part"])
+    return rows.select(*df.columns, *((F.col(f"__b_{n}") + F.sum(c).over(here)).alias(n) for n, c in sums.items()))

@@ -129,11 +129,8 @@ _ANSWERS = f"(select judge, cause <> 'judged' as failed, row_number() over (part
 @query(f"""with r as (select judge, count(*) over w as n, (sum(failed::int) over w)::bigint as failures from {_ANSWERS} window w as (partition by judge order by place rows between unbounded preceding and current row))
  select judge, min(n) as n, arg_min(failures, n) as failures from r where n >= 10 and failures > 0.05 * n group by all""")
 def m17_instrument_abort(spark, d):
-    from pyspark.sql import Window as W
-
     h = F.md5(F.concat("reasoning", F.coalesce("label", F.lit("")), "cause").cast("binary"))
-    a = table(spark, d, "adjudications").distinct().select(C.word("judge").alias("judge"), (F.col("cause") != "judged").alias("failed"), "assertion_id", h.alias("h"))
-    a = a.withColumn("place", F.row_number().over(W.partitionBy("judge").orderBy("assertion_id", "h")))
+    a = table(spark, d, "adjudications").distinct().select(C.word("judge").alias("judge"), (F.col("cause") != "judged").alias("failed"), F.struct("assertion_id", h.alias("h")).alias("place"))
     return V.instrument_abort(a, share=0.05)
 
 

@@ -70,6 +70,11 @@ def test_ranks_medians_and_numbers_in_parts(rows, spark):
     assert med == {g: statistics.median([float(v) for i, v in enumerate(vals) if i % 3 == g]) for g in range(3)}
     n = numbered(spark.range(1000, 0, -1).selectExpr("id * 7 % 1001 AS k"), ["k"], "n").collect()
     assert [r.n for r in sorted(n, key=lambda r: r.k)] == list(range(1000))
+    from tessella.plans.order import running
+
+    data = [(i % 2, i * 37 % 500, i % 5) for i in range(500)]
+    got = {(r.g, r.k): r.s for r in running(spark.createDataFrame(data, "g int, k int, v int"), ["g"], ["k"], {"s": "v"}).collect()}
+    assert got == {(g, k): sum(v for a, b, v in data if a == g and b <= k) for g, k, _ in data}
     assert stats.nearest_rank(df.limit(0), [0.5]).count() == 0 and stats.medians(df.limit(0)).count() == 0
 
 
