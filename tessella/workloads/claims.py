@@ -157,3 +157,24 @@ _SQ = r"trim(regexp_replace(text, '[ \t\n\r\f\x0b]+', ' ', 'g'))"
 def j14_leaks(spark, d):
     secrets = table(spark, d, "assertions").select(F.col("assertion_id").alias("secret_id"), F.col("claim").alias("text"))
     return leaks.shared_windows(secrets, table(spark, d, "documents").select(F.col("doc_id").alias("text_id"), "text"))
+
+
+_LEAK = f"""s as (select min(assertion_id) as secret_id, {_SQ.replace('text', 'claim')} as t from assertions where claim is not null group by t), x as (select min(doc_id) as text_id, {_SQ} as t from documents where text is not null group by t),
+ a as (select distinct secret_id, substr(t, p, 32) as g from (select secret_id, t, unnest(generate_series(1, length(t) - 31)) as p from s where length(t) >= 32)),
+ b as (select distinct text_id, substr(t, p, 32) as g from (select text_id, t, unnest(generate_series(1, length(t) - 31)) as p from x where length(t) >= 32))"""
+
+
+def _leaking(spark, d):
+    secrets = table(spark, d, "assertions").select(F.col("assertion_id").alias("secret_id"), F.col("claim").alias("text"))
+    return leaks.leaking(secrets, table(spark, d, "documents").select(F.col("doc_id").alias("text_id"), "text"))
+
+
+@query(f"with {_LEAK} select distinct text_id from b where g in (select g from a)")
+def j14_leaking_texts(spark, d):
+    """Texts that hold a passage of any claim; linear, where the pairs of j14_leaks are not."""
+    return _leaking(spark, d)[0].select("text_id")
+
+
+@query(f"with {_LEAK} select distinct secret_id from a where g in (select g from b)")
+def j14_leaked_secrets(spark, d):
+    return _leaking(spark, d)[1].select("secret_id")
