@@ -92,3 +92,38 @@ def test_fitted_evidence_of_nothing_and_of_limits():
     )
     model = fitted_evidence(cells)
     assert model.odds["kind"]["no habit: prose"] > 4 > START["no habit"] and abs(model.odds["kind"]["no habit: list"] - model.odds["kind"]["no habit: prose"]) < 1.5
+
+
+def test_open_endings_keep_their_worth_in_large_tables():
+    """Many limits elsewhere say nothing about unclosed code in a source that has few."""
+    import math
+
+    import numpy as np
+    import pandas as pd
+
+    from tessella.llm.truncation import FACTORS, fitted_evidence
+
+    cells = pd.DataFrame(
+        [("open: code", None, None, "as long", np.nan, 18_100, "code"), ("open: code", None, None, "as long", 0.99, 2_200, "code"), ("habit: code", "known", "goes on", "as long", np.nan, 736_300, "code"),
+         ("no habit: prose", "known", "goes on", "as long", 0.99, 400_000, "notes"), ("no habit: prose", "known", "goes on", "as long", np.nan, 110_000, "notes"), ("habit: trailer", "known", "goes on", "as long", np.nan, 2_600_000, "notes")],
+        columns=[*FACTORS, "p", "n", "stratum"],
+    )
+    model = fitted_evidence(cells)
+    assert math.log(model.base / (1 - model.base)) + model.odds["told"]["as long"] + model.odds["kind"]["open: code"] > 0
+
+
+def test_words_and_frames_that_cuts_end_are_no_habits(rows):
+    """So many cut claims that each half word ends several of them."""
+    rnd = random.Random(5)
+    words = [*WORDS, "the", "the", "the", "which", "when", "store"]
+    claim = lambda: " ".join(rnd.choice(words) for _ in range(rnd.randint(6, 14))) + " store"
+    data, cut = [], set()
+    for i in range(4000):
+        text = f"kind: x{i}.\nclaim: {claim()}."
+        if i % 10 == 0:
+            text = text[: rnd.randint(text.index("claim:") + 30, len(text) - 8)]
+            if text.split()[-1] not in words:  # whole words may end a claim
+                cut.add(i)
+        data.append((i, "claims", len(text), text, "x"))
+    found = {r.doc_id for r in truncated(rows(D, *data)).collect()}
+    assert len(found & cut) > 0.97 * len(cut) and found <= set(range(0, 4000, 10))
