@@ -16,10 +16,11 @@ RESAMPLES = 2000
 
 def draws(spark, resamples: int, n: int, seed: int) -> DataFrame:
     """(b, i, pick) for every resample and position."""
-    b = spark.range(resamples).withColumnRenamed("id", "b")
-    each = b.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1)))))
+    n = max(1, n)
+    # one range, of whose size the planner knows; exploded sequences pass for small and are broadcast through the driver
+    each = spark.range(resamples * n).select(F.expr(f"id div {n}").alias("b"), F.expr(f"id % {n}").alias("i"))
     bits = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(seed), "b", "i").cast("binary")), 1, 8), 16, 10).cast("long")
-    return each.select("b", "i", (bits % max(1, n)).alias("pick"))
+    return each.select("b", "i", (bits % n).alias("pick"))
 
 
 def cluster_means(values: DataFrame, resamples: int, seed: int = 20) -> DataFrame:

@@ -30,3 +30,11 @@ def test_single_cluster_is_drawn_value_by_value(spark):
     values = [((i * 7) % 20) / 20 for i in range(20)]
     got = interval(spark, *(("one", v) for v in values), ("one", None))
     assert got == pytest.approx(brute([[v] for v in sorted(values)]), abs=1e-8) and got[0.025] < got[0.975]
+
+
+def test_large_draws_are_not_taken_for_small(spark):
+    """A million draws whose size the planner takes for that of 1,000 resamples would be broadcast through the driver."""
+    few = {(r.b, r.i): r.pick for r in bootstrap.draws(spark, 3, 7, 20).collect()}
+    assert few == {(b, i): int(hashlib.md5(f"20-{b}-{i}".encode()).hexdigest()[:8], 16) % 7 for b in range(3) for i in range(7)}
+    size = bootstrap.draws(spark, 1000, 1000, 20)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    assert int(str(size)) > 8_000_000
