@@ -92,7 +92,7 @@ def test_neither_postings_nor_pairs_are_shuffled(spark, rows):
     assert _shuffled(spark) - before < 20_000
 
 
-@pytest.mark.parametrize("name", ["f9_seed_merge"])
+@pytest.mark.parametrize("name", ["f9_seed_merge", "f6_rank_fusion"])
 def test_queries_shuffle_less_than_their_tokens(spark, name):
     """Rows shuffled on sf0.01, where 20 queries ask 1,000 texts: 10,147; with postings joined and scored by shuffles 23,531."""
     import __spark_entry__
